@@ -5,7 +5,7 @@ A window is repeated if its words also start in a document with a smaller doc_id
 hashed (64 bits) and dealt out by hash range; within a range the smallest doc_id of each hash is found. A task that
 reads documents first folds its own repeats: of several documents of a batch that hold a window only the smallest goes
 on, the rest are known to lose it, so that a window in a third of all documents makes one entry a batch, not one a
-document. Entries are packed, many to a row. What a document loses comes back by document bucket, beside its text.
+document. Entries are packed, many to a row, as differences. What a document loses comes back by document bucket, beside its text.
 
 Cases: a null text has no words; null doc_ids are neither looked up nor removed from, and come back with n_removed 0;
 rows that share a doc_id never remove from each other; fewer words than a window: nothing is removed; an empty table
@@ -44,9 +44,34 @@ def prime(n: int) -> int:
     return n
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Ascending or nearby 64-bit values in few bytes: the smallest, then what each has above it or above the one
+    before, whichever is less, without leading bytes that are zero in all."""
+    x = x.view(np.uint64)
+    steps = np.diff(x, prepend=x[:1]) if (x[1:] >= x[:-1]).all() else None
+    base = x[0] if steps is not None else x.min()
+    rest = steps if steps is not None else x - base
+    wide = (int(rest.max()).bit_length() + 7) // 8
+    planes = np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :wide]
+    return bytes([wide, steps is not None]) + int(base).to_bytes(8, "little") + planes.T.tobytes() + len(x).to_bytes(8, "little")
+
+
+def _spread(blob: bytes) -> np.ndarray:
+    n, wide = int.from_bytes(blob[-8:], "little"), blob[0]
+    rest = np.zeros((n, 8), np.uint8)
+    if wide:
+        rest[:, :wide] = np.frombuffer(blob, np.uint8, n * wide, 10).reshape(wide, n).T
+    rest = rest.view(np.uint64).ravel()
+    return (np.cumsum(rest, dtype=np.uint64) if blob[1] else rest) + np.uint64(int.from_bytes(blob[2:10], "little"))
+
+
+def _all(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_spread(b).view(kind) for b in column.to_pylist())])
+
+
 def _rows(kind: int, part: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     """One row for each part, with what belongs to it."""
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((hashes, part))
     part, hashes, docs = part[order], hashes[order], docs[order]
     keys, at = np.unique(part, return_index=True)
     ends = [*at[1:], len(part)][: len(keys)]
@@ -54,8 +79,8 @@ def _rows(kind: int, part: np.ndarray, hashes: np.ndarray, docs: np.ndarray) ->
         [
             pa.array(np.full(len(keys), kind, np.int32)),
             pa.array(keys.astype(np.int64)),
-            pa.array([hashes[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
-            pa.array([docs[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
+            pa.array([_squeeze(hashes[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+            pa.array([_squeeze(docs[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
         ],
         names=["kind", "part", "hashes", "docs"],
     )
@@ -109,8 +134,7 @@ def _count(buckets: int):
         """All entries of a range of hashes: what each document loses, by bucket. Losses known before pass on."""
         if key[0].as_py() == 1:
             return table
-        cat = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        hashes, docs, smallest, _ = _first(cat("hashes", np.uint64), cat("docs", np.int64))
+        hashes, docs, smallest, _ = _first(_all(table.column("hashes"), np.uint64), _all(table.column("docs"), np.int64))
         lost = ~smallest
         return pa.Table.from_batches([_rows(1, docs[lost] % buckets, hashes[lost], docs[lost])])
 
@@ -120,8 +144,7 @@ def _count(buckets: int):
 def _remove(window: int):
     def run(key, texts, losses):
         out: dict[str, list] = {x: [] for x in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans")}
-        cat = lambda c, kind: np.frombuffer(b"".join(losses.column(c).to_pylist()), kind)
-        hashes, docs = cat("hashes", np.uint64), cat("docs", np.int64)
+        hashes, docs = _all(losses.column("hashes"), np.uint64), _all(losses.column("docs"), np.int64)
         order = np.argsort(docs, kind="stable")
         hashes, docs = hashes[order], docs[order]
         for batch in texts.to_batches(max_chunksize=2000):
