@@ -6,13 +6,15 @@ SLICE bytes, so that the arrays beside a slice stay small; a longer document is
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORDS = np.uint64(0xD6E8FEB86659FD93)
 U = np.uint64
@@ -27,6 +29,21 @@ LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def tidy(run):
+    """run, a function of Arrow batches, so that a worker gives memory back to the system when its task ends: workers stay
+    for later tasks, and what their allocators would keep adds up."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. n - 1 modulo 2 ** 64."""
     have = _powers.get(int(base))

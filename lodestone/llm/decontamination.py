@@ -145,7 +145,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
                 found = [a + b for a, b in zip(batch.column(1).to_pylist(), scan(batch.column(0).field(at)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, batch.column(1).type)], names=["row", "found"])
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(B.tidy(run), out.schema)
     return out.select("row.*", F.col("found").alias("__items"))
 
 

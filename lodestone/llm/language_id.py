@@ -122,4 +122,4 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return given.mapInArrow(B.tidy(run), "doc_id long, lang_pred string, score double")

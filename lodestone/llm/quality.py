@@ -137,4 +137,4 @@ def quality(docs: DataFrame, net: Net) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, score double, predicted int")
+    return given.mapInArrow(B.tidy(run), "doc_id long, score double, predicted int")

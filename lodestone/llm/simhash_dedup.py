@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytewords as B
 from .components import components
 from .spaces import scratch, written
 
@@ -79,7 +80,7 @@ def _fingerprints(k: int):
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long), a row for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(k), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.tidy(_fingerprints(k)), "doc_id long, fp long")
 
 
 def _packed(groups: int):

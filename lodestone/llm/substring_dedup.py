@@ -191,7 +191,7 @@ def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     ranges = 1 << max(8, (size // RANGE_BYTES).bit_length())
     buckets = prime(max(256, size // BUCKET_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_read(window, ranges, buckets), PACKED)
+    found = texts.mapInArrow(B.tidy(_read(window, ranges, buckets)), PACKED)
     counted = found.groupBy("kind", "part").applyInArrow(_count(buckets), PACKED)
     # Nothing is looked up for a null doc_id; its text places it, so that many of them don't meet in one bucket.
     texts = texts.withColumn("part", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(buckets)))

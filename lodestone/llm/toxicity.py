@@ -160,7 +160,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
     row = F.struct(*[(F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
     given = docs.select(row.alias("row"))
-    out = given.mapInArrow(run, given.withColumn("p", F.expr("cast(array() as array<double>)")).schema)
+    out = given.mapInArrow(B.tidy(run), given.withColumn("p", F.expr("cast(array() as array<double>)")).schema)
     return out.select("row.*", F.col("p").alias("__p"))
 
 
