@@ -32,7 +32,7 @@ from .spaces import written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKS = 20_000
 #: Words and white-space separated chunks that a worker keeps with their ids; words take longer to encode anew.
-WORDS, CHUNKS = 200_000, 80_000
+WORDS, CHUNKS = 400_000, 200_000
 
 _LETTERS = "a-zß-öø-ÿ"
 
