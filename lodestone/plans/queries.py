@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog
+from . import catalog, search_queries  # noqa: F401  the modules fill the catalogue
 
 
 def queries() -> dict[str, catalog.Query]:
