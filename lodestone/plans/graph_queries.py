@@ -94,9 +94,12 @@ def orphans(spark, sf):
     return graph.orphans(nodes, table(spark, sf, "labels").select(F.col("doc_id").alias("dst")))
 
 
-@query("resolve_cascade", "WITH t AS (SELECT p_partkey, p_name, CASE WHEN p_name = 'part_12' THEN 1 WHEN lower(p_name) = 'part_12' THEN 2 WHEN ends_with(lower(p_name), '12') THEN 3 WHEN contains(lower(p_name), '12') THEN 4 END AS tier FROM part) SELECT p_partkey, p_name, tier FROM (SELECT p_partkey, p_name, CASE WHEN p_name = '12' THEN 1 WHEN lower(p_name) = '12' THEN 2 WHEN ends_with(lower(p_name), '12') THEN 3 WHEN contains(lower(p_name), '12') THEN 4 END AS tier FROM part) WHERE tier = (SELECT min(CASE WHEN p_name = '12' THEN 1 WHEN lower(p_name) = '12' THEN 2 WHEN ends_with(lower(p_name), '12') THEN 3 WHEN contains(lower(p_name), '12') THEN 4 END) FROM part)")
+_TIER = "CASE WHEN p_name = 'widget' THEN 1 WHEN lower(p_name) = 'widget' THEN 2 WHEN ends_with(lower(p_name), 'widget') THEN 3 WHEN contains(lower(p_name), 'widget') THEN 4 END"
+
+
+@query("resolve_cascade", f"SELECT p_partkey, p_name, {_TIER} AS tier FROM part WHERE {_TIER} = (SELECT min({_TIER}) FROM part)")
 def resolve_cascade(spark, sf):
-    return graph.resolve_name(table(spark, sf, "part"), "p_partkey", "p_name", "12")
+    return graph.resolve_name(table(spark, sf, "part"), "p_partkey", "p_name", "widget")
 
 
 _MODS = "(SELECT DISTINCT replace(split_part(url, '/', 3), '-', '_') AS fqn FROM pages)"

@@ -61,7 +61,7 @@ def bm25_multifield(spark, sf):
     return fulltext.top(got, "p_partkey", 50).select("p_partkey", F.round("score", 6).alias("score"))
 
 
-EXACT = ["part_1", "12"]
+EXACT = ["red_wid", "12"]
 _EXACT_SQL = " UNION ALL ".join(f"(SELECT p_partkey, {s} AS score FROM part WHERE {c} ILIKE '%{i}%' ORDER BY p_partkey LIMIT 40)" for i in EXACT for c, s in (("p_name", 100.0), ("p_brand", 80.0)))
 
 
