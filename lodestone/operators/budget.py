@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_fill(rows: DataFrame, by: str, order: list[Column], key: str, tokens: str, budget: str | int) -> DataFrame:
+def greedy_fill(rows: DataFrame, by: str, order: list[Column], key: str, tokens: str, budget: str | int, carry: Sequence[str] = ()) -> DataFrame:
     """by, key, tokens, used: in order, each row that still fits is taken and others are passed over. budget: tokens, or the
-    name of a column that has them, alike in a group.
+    name of a column that has them, alike in a group; carry: further columns of the rows that are taken.
 
     What a row does depends on all before it, so a group is folded in one row; groups are the limited results of one query.
     """
-    item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("key"), F.col(tokens).cast("long").alias("tokens"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<struct<key:{dict(rows.dtypes)[key]},tokens:long,used:long>>)").alias("taken"))
+    item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("key"), F.col(tokens).cast("long").alias("tokens"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    kinds = dict(rows.dtypes)
+    more = "".join(f",c{i}:{kinds[c]}" for i, c in enumerate(carry))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<struct<key:{kinds[key]},tokens:long,used:long{more}>>)").alias("taken"))
     limit = F.lit(budget) if isinstance(budget, int) else F.col("limit")
 
     def step(s: Column, x: Column) -> Column:
         used = s["used"] + x["tokens"]
-        more = F.array(F.struct(x["key"].alias("key"), x["tokens"].alias("tokens"), used.alias("used")))
+        more = F.array(F.struct(x["key"].alias("key"), x["tokens"].alias("tokens"), used.alias("used"), *[x[f"c{i}"].alias(f"c{i}") for i in range(len(carry))]))
         return F.when(used <= limit, F.struct(used.alias("used"), F.concat(s["taken"], more).alias("taken"))).otherwise(s)
 
     most = [] if isinstance(budget, int) else [F.first(budget).alias("limit")]
     got = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"), *most).select(by, F.explode(F.aggregate("items", start, step, lambda s: s["taken"])).alias("x"))
-    return got.select(by, F.col("x.key").alias(key), F.col("x.tokens").alias("tokens"), F.col("x.used").alias("used"))
+    return got.select(by, F.col("x.key").alias(key), F.col("x.tokens").alias("tokens"), F.col("x.used").alias("used"), *[F.col(f"x.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def prefix_fill(rows: DataFrame, by: str, order: list[Column], tokens: str, budget: int) -> DataFrame:

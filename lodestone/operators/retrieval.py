@@ -8,6 +8,7 @@ so all that comes after the lanes is small.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,15 +38,13 @@ def search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 
 def _fuse(lanes: dict[str, tuple[DataFrame, float]]) -> DataFrame:
-    """Lanes fused by rank, or the scores of the only one that has rows."""
-    fused = fusion.reciprocal_rank_fusion(lanes, "key")
-    raw = None
-    for name, (lane, _) in lanes.items():
-        one = lane.select(F.lit(name).alias("lane"), "key", "score")
-        raw = one if raw is None else raw.unionByName(one)
-    n = F.broadcast(raw.agg(F.countDistinct("lane").alias("lanes")))
-    own = raw.groupBy("key").agg(F.max("score").alias("own"))
-    return fused.join(own, "key").crossJoin(n).select("key", F.when(F.col("lanes") == 1, F.col("own")).otherwise(F.col("score")).alias("score"))
+    """Lanes fused by rank, or the scores of the only one that has rows. Lanes are limited, and each is read once."""
+    parts = [lane.select(F.lit(name).alias("lane"), F.lit(weight).alias("weight"), "key", "score") for name, (lane, weight) in lanes.items()]
+    best = reduce(DataFrame.unionByName, parts).groupBy("lane", "weight", "key").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("lane").orderBy(F.round("score", 9).desc(), "key"))
+    lanes_met = F.size(F.collect_set("lane").over(Window.partitionBy(F.lit(1))))
+    each = best.withColumn("rank", rank).withColumn("lanes", lanes_met).groupBy("key").agg(F.sum(F.col("weight") / (fusion.K + F.col("rank"))).alias("fused"), F.max("score").alias("own"), F.first("lanes").alias("lanes"))
+    return each.select("key", F.when(F.col("lanes") == 1, F.col("own")).otherwise(F.col("fused")).alias("score"))
 
 
 def signatures(chunks: DataFrame, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
@@ -114,14 +113,16 @@ def context(chunks: DataFrame, query: str, o: Options | None = None) -> DataFram
     o = o or Options()
     p = plan(chunks.sparkSession, query)
     found = candidates(chunks, query, o).join(chunks, "key")
-    ranked = fusion.relevance_floor(_filtered(modified(found, query, p["search_terms"], o), o))
+    ranked = _filtered(modified(found, query, p["search_terms"], o), o)
+    # The candidates are limited: a window over all of them spares reading them again for their maximum.
+    best = F.max("score").over(Window.partitionBy(F.lit(1)))
+    ranked = ranked.withColumn("best", best).filter((F.col("best") <= 0) | (F.col("score") >= 0.3 * F.col("best"))).drop("best")
     if o.seen is not None:
         ranked = ranked.join(o.seen.select("key"), "key", "left_anti")
     share = budget.SPLITS[p["query_type"]]
     code = int(o.budget * (share[0] + (0 if o.edges is not None else share[1])))
     sized = ranked.withColumn("tokens", T.token_count(F.col("body"))).withColumn("q", F.lit(1)).withColumn("score", F.round("score", 9))
-    filled = budget.greedy_fill(sized, "q", [-F.col("score"), F.col("key")], "key", "tokens", code).drop("q")
-    packed = filled.join(ranked.select("key", "score"), "key")
+    packed = budget.greedy_fill(sized, "q", [-F.col("score"), F.col("key")], "key", "tokens", code, ["score"]).drop("q")
     into = F.lit(0)
     if o.edges is not None:
         packed = packed.join(o.edges.groupBy(F.col("dst").alias("key")).agg(F.countDistinct("src").alias("into")), "key", "left")
