@@ -8,7 +8,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, nearest, packing, quality, secrets, toxicity
+from . import decontamination, html_text, language_id, nearest, oracles, packing, quality, secrets, toxicity
 from .sampling import bucket
 from .simhash_dedup import near_duplicates
 from .substring_dedup import repeated_passages
@@ -83,4 +83,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

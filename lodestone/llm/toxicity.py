@@ -75,6 +75,7 @@ class Chain:
     categories: list[str]
     known: np.ndarray  # sorted feature hashes
     weights: list[tuple[np.ndarray, np.ndarray, float]]  # of features, of earlier categories, bias
+    threshold: float = 0.5  # of the last category
 
     def __post_init__(self):
         self.maybe = np.zeros(_MASK + 1, bool)
@@ -102,6 +103,24 @@ class Chain:
         return out
 
 
+def cut(p: np.ndarray, y: np.ndarray) -> float:
+    """A threshold from out-of-fold probabilities: midway between what 999 in 1000 negatives stay below and what 995 in 1000
+    positives reach. If these cross, the one with the largest share of positives found less twice the share of negatives
+    taken for such; of equals, the middle of the widest gap."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    low, high = np.quantile(p[y == 0], 0.999), np.quantile(p[y == 1], 0.005)
+    if low < high:
+        return float(np.clip((low + high) / 2, 0.1, 0.9))
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    found, wrong = 1 - np.cumsum(y) / y.sum(), 1 - np.cumsum(1 - y) / (1 - y).sum()
+    gain = np.round(found - 2 * wrong, 9)[:-1]
+    best = np.flatnonzero(gain == gain.max())
+    i = best[np.argmax((p[1:] - p[:-1])[best])]
+    return float(np.clip((p[i] + p[i + 1]) / 2, 0.1, 0.9))
+
+
 def fit(texts: pa.Array | pa.ChunkedArray, labels: dict[str, np.ndarray], count: int = FEATURES, folds: int = FOLDS) -> Chain:
     """labels: 0 or 1 for each text, by category, in the chain's order."""
     n = len(texts)
@@ -135,7 +154,7 @@ def fit(texts: pa.Array | pa.ChunkedArray, labels: dict[str, np.ndarray], count:
             w, b = _logistic(inputs[fold != k], y[fold != k])
             held[fold == k] = _sigmoid(inputs[fold == k] @ w + b)
         oof = np.column_stack([oof, held])
-    return Chain(list(labels), kinds[keep], weights)
+    return Chain(list(labels), kinds[keep], weights, cut(oof[:, -1].astype(np.float64), y))
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SIZE) -> Chain:
@@ -164,13 +183,13 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     return out.select("row.*", F.col("p").alias("__p"))
 
 
-def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.3) -> DataFrame:
-    """doc_id, a probability p_<category> for each category, and toxic (the last one reaches the threshold)."""
+def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
+    """doc_id, a probability p_<category> for each category, and toxic (the last one reaches the chain's threshold)."""
     got = scored(docs.select("doc_id", "text"), chain)
     p = [F.get("__p", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(chain.categories)]
-    return got.select(F.col("doc_id").cast("long").alias("doc_id"), *p, (F.get("__p", F.lit(len(p) - 1)) >= threshold).alias("toxic"))
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), *p, (F.get("__p", F.lit(len(p) - 1)) >= chain.threshold).alias("toxic"))
 
 
-def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.3) -> DataFrame:
-    """docs less those whose last category reaches the threshold; their columns as they are."""
-    return scored(docs, chain).filter(F.get("__p", F.lit(len(chain.categories) - 1)) < threshold).drop("__p")
+def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
+    """docs less those whose last category reaches the chain's threshold; their columns as they are."""
+    return scored(docs, chain).filter(F.get("__p", F.lit(len(chain.categories) - 1)) < chain.threshold).drop("__p")

@@ -50,3 +50,10 @@ def test_chain_feeds_earlier_probabilities():
     first = np.array(first)
     chain = T.fit(pa.array(texts), {"one": first, "two": first})
     assert [len(w[1]) for w in chain.weights] == [0, 1] and chain.weights[1][1][0] > 0
+
+
+def test_cut():
+    y = np.array([0.0] * 6 + [1.0] * 4)
+    assert T.cut(np.array([0.0, 0.1, 0.1, 0.15, 0.2, 0.2, 0.6, 0.7, 0.8, 0.9]), y) == pytest.approx(0.4, abs=0.01)
+    assert T.cut(np.array([0.0, 0.1, 0.1, 0.15, 0.2, 0.2, 0.19, 0.7, 0.8, 0.9]), y) == pytest.approx(0.45)
+    assert T.cut(np.zeros(3), np.zeros(3)) == 0.5
