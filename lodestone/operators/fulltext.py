@@ -21,10 +21,8 @@ def phrase(term: str) -> list[str]:
     return re.findall(r"[^\W_]+", term.lower())
 
 
-def _count(tokens: Column, wanted: list[str]) -> Column:
+def _phrases(tokens: Column, wanted: list[str]) -> Column:
     """How often the words follow each other in tokens."""
-    if len(wanted) == 1:
-        return F.size(F.filter(tokens, lambda t: t == wanted[0]))
     # Each word has a space of its own on both sides, and a look-ahead counts overlapping places too.
     line = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
     return F.regexp_count(line, F.lit(f"(?= {'  '.join(wanted)} )"))
@@ -41,20 +39,33 @@ def bm25(rows: DataFrame, key: str, fields: Mapping[str, float], terms: Sequence
     if not items or every and len(items) < 2:
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
     tokens = rows.select(key, *[words(F.col(f)).alias(f"w{i}") for i, f in enumerate(fields)])
-    hits = [[_count(F.col(f"w{i}"), p) for i in range(len(fields))] for p in items]
-    length = sum((F.size(f"w{i}") for i in range(len(fields))), F.lit(0)).alias("length")
+    single = [p[0] for p in items if len(p) == 1]
+    # Of each field stays its length, its words that the query has, and the counts of its phrases.
+    kept = []
+    for i in range(len(fields)):
+        w = F.col(f"w{i}")
+        kept += [F.size(w).alias(f"l{i}"), F.filter(w, lambda t: t.isin(single) if single else F.lit(False)).alias(f"h{i}")]
+        kept += [_phrases(w, p).alias(f"p{i}_{j}") for j, p in enumerate(items) if len(p) > 1]
+    small = tokens.select(key, *kept)
+
+    def times(word: str, i: int) -> Column:
+        return F.size(F.filter(F.col(f"h{i}"), lambda t: t == word))
+
+    hits = [[times(p[0], i) if len(p) == 1 else F.col(f"p{i}_{j}") for i in range(len(fields))] for j, p in enumerate(items)]
+    length = sum((F.col(f"l{i}") for i in range(len(fields))), F.lit(0)).alias("length")
     freq = [sum((w * h for w, h in zip(fields.values(), hs, strict=True)), F.lit(0.0)).alias(f"f{j}") for j, hs in enumerate(hits)]
-    counted = tokens.select(key, length, *freq)
+    counted = small.select(key, length, *freq)
+    whole = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(len(items))])
     has = [F.col(f"f{j}") > 0 for j in range(len(items))]
-    whole = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(h).alias(f"n{j}") for j, h in enumerate(has)])
     idf = [F.log((F.col("n") - F.col(f"n{j}") + 0.5) / (F.col(f"n{j}") + 0.5)) for j in range(len(items))]
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    score = sum((F.when(i > 0, i).otherwise(1e-6) * F.col(f"f{j}") * (K1 + 1) / (F.col(f"f{j}") + norm) for j, i in enumerate(idf)), F.lit(0.0))
+    total = sum((F.when(i > 0, i).otherwise(1e-6) * F.col(f"f{j}") * (K1 + 1) / (F.col(f"f{j}") + norm) for j, i in enumerate(idf)), F.lit(0.0))
     some = has[0]
     for h in has[1:]:
         some = some & h if every else some | h
-    # `whole` is one row.
-    return counted.filter(some).crossJoin(F.broadcast(whole)).select(key, score.alias("score"))
+    # `whole` is one row. A row without a hit has no score, and a test of the score, which needs `whole`, stays above the join:
+    # a test of the counts would move below them and count all over again.
+    return counted.crossJoin(F.broadcast(whole)).select(key, F.when(some, total).otherwise(0.0).alias("score")).filter(F.col("score") > 0)
 
 
 def top(scored: DataFrame, key: str, n: int) -> DataFrame:
