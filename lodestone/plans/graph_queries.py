@@ -281,7 +281,7 @@ def path_category(spark, sf):
     return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", T.file_category(F.col("path")).alias("category"))
 
 
-@query("path_filter", f"SELECT path, regexp_matches(lower(path), '(^|/)(\\.git|\\.know|__pycache__|node_modules|site-packages|\\.next|\\.nuxt|\\.turbo|dist|build|target|\\.cache|\\.pytest_cache|\\.mypy_cache|\\.ruff_cache|\\.tox|\\.nox)(/|$)|(^|/)(\\.venv|venv)') AS excluded, CASE regexp_extract(path, '\\.[^./]*$') WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.rs' THEN 'rust' WHEN '.c' THEN 'c' WHEN '.rb' THEN 'ruby' END AS language FROM (VALUES {_VALUES}) v(path)")
+@query("path_filter", f"SELECT path, regexp_matches(lower(path), '(^|/)(\\.git|\\.lodestone|__pycache__|node_modules|site-packages|\\.next|\\.nuxt|\\.turbo|dist|build|target|\\.cache|\\.pytest_cache|\\.mypy_cache|\\.ruff_cache|\\.tox|\\.nox)(/|$)|(^|/)(\\.venv|venv)') AS excluded, CASE regexp_extract(path, '\\.[^./]*$') WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.rs' THEN 'rust' WHEN '.c' THEN 'c' WHEN '.rb' THEN 'ruby' END AS language FROM (VALUES {_VALUES}) v(path)")
 def path_filter(spark, sf):
     p = F.col("path")
     return spark.createDataFrame([(x,) for x in PATHS], "path string").select("path", T.is_excluded(p).alias("excluded"), T.language(p).alias("language"))
