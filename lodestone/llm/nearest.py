@@ -9,6 +9,9 @@ Equal vectors are one entry of the index, with the smallest ids of those that ha
 queries are asked once. A cell that holds more than its share is dealt out into salted blocks, so that no task holds an
 unbounded part; only each block's best come out of it.
 
+A query that met fewer than it can use (a long or outlying vector, a small table) is ranked exactly against all entries of its
+length, block by block of both, so every query has k rows wherever there are k candidates.
+
 Cases: rows whose vec_id or vector is null, or whose vector is all zero or holds nulls or non-finite components, take no part;
 vectors of different lengths never meet; rows that share a vec_id are one candidate each at its own distance, the nearest
 counting; fewer candidates than k give fewer rows; an empty table gives an empty result; other columns are ignored.
@@ -166,9 +169,27 @@ def _salted(index: DataFrame, asks: DataFrame, entries: int) -> tuple[DataFrame,
     return index, asks
 
 
+def _completed(best: DataFrame, asked: DataFrame, entries: DataFrame, count: int, n: int) -> DataFrame:
+    """best, with the lists of queries that met fewer than n ids ranked anew against all entries of their length."""
+    best, _ = written(best)
+    enough = best.filter(F.size("ids") >= n)
+    short, _ = written(asked.join(enough.select("qid"), "qid", "left_anti"))
+    asking = short.count()
+    if not asking:
+        return best
+    dim, salt = F.size("vector").alias("dim"), F.xxhash64("vector")
+    rows, columns = -(-asking // BLOCK), -(-count // BLOCK)
+    asks = short.select("qid", "vector", dim, F.pmod(salt, F.lit(rows).cast("long")).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
+    held = entries.select("ids", "vector", dim, F.pmod(salt, F.lit(columns)).cast("int").alias("column"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"))
+    held = held.join(F.broadcast(short.select(dim).distinct()), "dim", "left_semi")
+    place = ["dim", "row", "column"]
+    lists = asks.groupBy(*place).cogroup(held.groupBy(*place)).applyInArrow(_rank(n), "qid long, ids array<long>, distances array<double>")
+    return enough.unionByName(lists.groupBy("qid").applyInArrow(_merge(n), "qid long, ids array<long>, distances array<double>"))
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, tables_probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k nearest other rows found.
-    vectors: vec_id, embedding."""
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k nearest other rows found,
+    or all there are, if fewer. vectors: vec_id, embedding."""
     n = k + 1  # the query itself may be among them
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
@@ -188,6 +209,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, tables_probes: in
     place = ["tab", "cell", "salt"]
     lists = asks.groupBy(*place).cogroup(index.groupBy(*place)).applyInArrow(_rank(n), "qid long, ids array<long>, distances array<double>")
     best = lists.groupBy("qid").applyInArrow(_merge(n), "qid long, ids array<long>, distances array<double>")
+    best = _completed(best, asked, entries, count, n)
     named = rows.join(asked, "vector").select(F.col("vec_id").alias("query_id"), "qid").join(best, "qid")
     others = F.slice(F.filter(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("distances").alias("score")), lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return named.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

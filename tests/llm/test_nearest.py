@@ -51,3 +51,32 @@ def test_probes_go_by_cost():
 
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def found(df, **k):
+    got = {}
+    for x in sorted(nearest(df, **k).collect(), key=lambda x: (x.query_id, x.rank)):
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    return got
+
+
+def same(got, want):
+    return [j for j, _ in got] == [j for j, _ in want] and np.allclose([d for _, d in got], [d for _, d in want], rtol=0, atol=1e-12)
+
+
+def test_no_query_is_short(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.nearest.BLOCK", 256)  # several blocks of entries
+    r = np.random.default_rng(5)
+    unit = lambda n, size: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True) * size)(r.normal(size=(n, 16)))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([unit(2000, 1), unit(20, 20)]))] + [(5000 + i, [float(i), 1.0]) for i in range(3)]
+    want = brute(rows, 1, 10)
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), every=1)
+    assert {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in want.items()}
+    assert all(same(got[i], want[i]) for i in [*range(2000, 2020), 5000, 5001, 5002])
+
+
+def test_fewer_rows_than_k(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(8, 16)))] + [(8, (40 * r.normal(size=16)).tolist())]
+    want, got = brute(rows, 1, 10), found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1)
+    assert got.keys() == want.keys() and all(len(got[i]) == 8 and same(got[i], want[i]) for i in want)
