@@ -159,3 +159,19 @@ def test_lexical_phrase(spark):
     got = {r.k for r in fulltext.bm25(df, "k", {"t": 1.0}, ["a_a"]).collect()}
     assert got == {1}
     assert fulltext.bm25(df, "k", {"t": 1.0}, ["a"], every=True).count() == 0
+
+
+def test_packing_takes_every_edge(spark, sf_dir):
+    from lodestone.plans.queries import queries
+
+    edges = {tuple(r) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()}
+    size = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    want, used = set(), {}
+    for side, item in sorted((e for e in edges if e[1] in size), key=lambda e: (size[e[1]], e[1])):
+        if used.get(side, 0) + size[item] <= 150:
+            used[side] = used.get(side, 0) + size[item]
+            want.add((side, item, size[item], used[side]))
+    made = queries()
+    packed = {(r.side, r.item, r.tokens, r.used) for r in made["deep_pack_all"](spark, sf_dir).collect()}
+    over = {(r.side, r.item) for r in made["deep_overflow_all"](spark, sf_dir).collect()}
+    assert packed == want and over == {e for e in edges if e[1] in size} - {x[:2] for x in want}
