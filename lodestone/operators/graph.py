@@ -29,13 +29,13 @@ def importance(edges: DataFrame) -> DataFrame:
 
 
 def graph_lane(edges: DataFrame, seeds: DataFrame, per_seed: int = 25, limit: int = 50) -> DataFrame:
-    """seeds: key, score. key and score of what seeds call (1.0 of the seed's score), of what calls them (0.9), and of what
-    calls the same as they do (0.7); a few a seed, the best score of each, without the seeds."""
+    """seeds: key, score. key and score of what seeds call (1.0 of the seed's score) and of what calls them (0.9); per_seed
+    of either a seed, the best score of each, without the seeds."""
     s = F.broadcast(seeds.limit(12))
-    down = s.join(edges, F.col("key") == F.col("src")).select("key", F.col("dst").alias("other"), F.col("score").alias("got"))
-    up = s.join(edges, F.col("key") == F.col("dst")).select("key", F.col("src").alias("other"), (F.col("score") * 0.9).alias("got"))
+    down = s.join(edges, F.col("key") == F.col("src")).select("key", F.col("dst").alias("other"), F.col("score").alias("got"), F.lit("down").alias("way"))
+    up = s.join(edges, F.col("key") == F.col("dst")).select("key", F.col("src").alias("other"), (F.col("score") * 0.9).alias("got"), F.lit("up").alias("way"))
     near = down.unionByName(up).distinct()
-    w = Window.partitionBy("key").orderBy(F.col("got").desc(), "other")
+    w = Window.partitionBy("key", "way").orderBy(F.col("got").desc(), "other")
     capped = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_seed)
     best = capped.groupBy(F.col("other").alias("key")).agg(F.max("got").alias("score")).join(seeds.select("key"), "key", "left_anti")
     return best.orderBy(F.col("score").desc(), "key").limit(limit)

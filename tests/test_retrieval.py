@@ -175,3 +175,10 @@ def test_packing_takes_every_edge(spark, sf_dir):
     packed = {(r.side, r.item, r.tokens, r.used) for r in made["deep_pack_all"](spark, sf_dir).collect()}
     over = {(r.side, r.item) for r in made["deep_overflow_all"](spark, sf_dir).collect()}
     assert packed == want and over == {e for e in edges if e[1] in size} - {x[:2] for x in want}
+
+
+def test_graph_lane_keeps_callers_of_a_busy_seed(spark):
+    edges = [("s", f"d{i:02}") for i in range(30)] + [(f"u{i:02}", "s") for i in range(40)]
+    lane = graph.graph_lane(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("s", 2.0)], "key string, score double"))
+    got = [(r.key, round(r.score, 9)) for r in lane.collect()]
+    assert got == [(f"d{i:02}", 2.0) for i in range(25)] + [(f"u{i:02}", 1.8) for i in range(25)]
