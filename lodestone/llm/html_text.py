@@ -2,12 +2,16 @@
 
 Pages are ordered by host and URL path, and each is paired with the page beside it, of the same host, whose path shares the
 longer beginning with its own. Their lines (blocks of text) are aligned by longest common subsequence, and the lines that
-both pages have go. Two kinds of line are sure from markup alone and overrule the comparison: lines within an article or
+both pages have go. Pages in a row that are copies of each other (recrawls, other query strings, mirrored rows) would delete
+each other, so the page beside is the nearest one before or after the whole run of them: pages are copies when COPY of their
+text agrees, by the characters in lines outside what markup sets beside it. With nothing but copies on its host a page is
+compared with none. So a host whose pages all differ in less than a tenth of their text keeps the lines they share. Two kinds of line are sure from markup alone and overrule the comparison: lines within an article or
 main element stay though the other page repeats them, and lines in navigation, headers, footers, asides, forms, adverts,
 notices and comments go though the other page lacks them (or there is none).
 
 One range partitioning by host, path and page_id brings neighbours together, so a host may hold any share of the pages. The
-first and the last page of a partition are compared with the one neighbour that they have there.
+first and the last page of a partition are compared with the one neighbour that they have there. A run of copies is held
+until it ends, equal lines once.
 
 Cases: null and empty pages have no text; null or unreadable URLs have the empty host and path; rows that share a page_id or
 URL, or have none, each get a row; unclosed tags, comments and scripts end with their parent or the page; an empty table
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +51,9 @@ ITEMS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "td":
 # Words of class, id and role names that mark what is beside the text.
 MARKS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice popup promo related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 
+#: The share of two pages' text that copies have in common.
+COPY = 0.9
+
 _SURE, _OPEN, _BESIDE = 1, 0, 2
 
 
@@ -151,19 +159,17 @@ def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -
     return "\n".join(kept), sum(own[i][1] != _SURE for i in both)
 
 
+def copies(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
+    """Whether pages are copies: their lines (nearly) all agree, those beside the text left out."""
+    x, y = (Counter(t for t, kind in page if kind != _BESIDE) for page in (a, b))
+    most = max(sum(len(t) * n for t, n in c.items()) for c in (x, y))
+    return most > 0 and sum(len(t) * n for t, n in (x & y).items()) >= COPY * most
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages in order of host and path."""
     out: tuple[list, ...] = ([], [], [], [], [])
 
-    def put(before, page, after) -> None:
-        best = None
-        for beside in (before, after):
-            if beside and beside[0] == page[0] and (best is None or _shared(beside[1], page[1]) > _shared(best[1], page[1])):
-                best = beside
-        text, n = main_text(page[4], best and best[4])
-        for column, x in zip(out, (page[2], page[3], text, len(text), n), strict=True):
-            column.append(x)
-
     def batch() -> pa.RecordBatch:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
         made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
@@ -171,17 +177,37 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x.clear()
         return made
 
-    before = page = None
+    def put(before, run, after) -> Iterator[pa.RecordBatch]:
+        own = other = text = n = None
+        for page in run:
+            best = None
+            for beside in (before, after):
+                if beside and beside[0] == page[0] and not (len(run) > 1 and copies(page[4], beside[4])) and (best is None or _shared(beside[1], page[1]) > _shared(best[1], page[1])):
+                    best = beside
+            if text is None or page[4] is not own or best is not other:
+                own, other = page[4], best
+                text, n = main_text(own, best and best[4])
+            for column, x in zip(out, (page[2], page[3], text, len(text), n), strict=True):
+                column.append(x)
+            if len(out[0]) >= 500:
+                yield batch()
+
+    before, run = None, []
+    known: dict[tuple[str, int], tuple[str, int]] = {}  # a run's lines
     for b in batches:
         for host, path, page_id, url, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
-            after = (host, path, page_id, url, lines(text.as_py() or ""))
-            if page:
-                put(before, page, after)
-                if len(out[0]) >= 500:
-                    yield batch()
-            before, page = page, after
-    if page:
-        put(before, page, None)
+            got = lines(text.as_py() or "")
+            page = (host, path, page_id, url, got)
+            if run and run[-1][0] == host and copies(run[-1][4], got):
+                same = got == run[-1][4]
+                run.append((host, path, page_id, url, run[-1][4] if same else [known.setdefault(x, x) for x in got]))
+                continue
+            if run:
+                yield from put(before, run, page)
+                before = run[-1]
+            run, known = [page], {x: x for x in got}
+    if run:
+        yield from put(before, run, None)
     yield batch()
 
 

@@ -51,3 +51,28 @@ def test_differencing(spark):
     assert got[101, "http://alone.y/"].text.count("\n") == 4
     assert got[102, "::bad url"].text == "" and got[102, "::bad url"].n_chars == 0
     assert extract(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_delete_each_other(spark):
+    def page(n, more=""):
+        return f"<div>Home</div><div>All sections</div><p>{f'Text of {n}. ' * 9}</p><p>{f'Second part of {n}. ' * 9}{more}</p>" + "".join(f"<p>{f'Part {i} of {n}. ' * 9}</p>" for i in range(20)) + "<div>Bye</div>"
+
+    kept = lambda n: page(n).replace("<div>Home</div><div>All sections</div>", "").replace("<div>Bye</div>", "").replace(" </p>", "\n").replace("<p>", "").strip()
+    rows = [(n, f"http://h.x/a/{n:03}", page(n)) for n in range(6)]
+    rows += [(100 + i, f"http://h.x/a/003?ref={i}", page(3)) for i in range(3)]  # recrawls, page 3 beside them
+    rows += [(200, "http://h.x/a/004?page=2", page(4, "Edited.")), (300, "http://h.x/a/0030", page(3))]  # a near copy, and one at another path
+    rows += [(400, "http://two.x/a", page(40)), (401, "http://two.x/a?b", page(40))]  # nothing but copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in extract(df).collect()}
+    assert len(got) == len(rows)
+    for i, n in [(n, n) for n in range(6)] + [(100, 3), (101, 3), (102, 3), (300, 3)]:
+        assert got[i].text == kept(n) and got[i].n_chars == len(kept(n)) and got[i].n_shared == 3, i
+    assert got[200].text == kept(4).replace("Second part of 4.\n", "Second part of 4. Edited.\n")
+    assert all(got[i].text == "Home\nAll sections\n" + kept(40) + "\nBye" for i in (400, 401))
+
+
+def test_planted_copy_keeps_its_text(spark):
+    page = lambda n: f"<div>Home</div><div>Site {n % 7}</div><p>Text of {n}.</p><p>More {n}</p><div>Bye</div>"
+    rows = [(n, f"http://host1.x/a/{n:03}?q", page(n)) for n in (5, 7, 7, 9)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted(r.text for r in got) == [f"Site {n % 7}\nText of {n}.\nMore {n}" for n in (7, 7, 9, 5)]
