@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import file_category
+
 
 def callers(edges: DataFrame, name, limit: int = 50) -> DataFrame:
     """edges: src, dst. Different sources of an edge to name, in order."""
@@ -22,6 +24,15 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(out, "node", "left").join(into, "node", "left")
 
 
+def neighbours_of(edges: DataFrame, name: str) -> DataFrame:
+    """way (imports, imported_by) and node: of name itself or, for a way in which that has none, of every node that ends with
+    .name."""
+    ways = edges.select(F.lit("imports").alias("way"), F.col("src").alias("own"), F.col("dst").alias("node")).unionByName(edges.select(F.lit("imported_by").alias("way"), F.col("dst").alias("own"), F.col("src").alias("node")))
+    found = ways.filter((F.col("own") == name) | F.col("own").endswith("." + name)).withColumn("full", F.col("own") == name)
+    full = F.broadcast(found.groupBy("way").agg(F.max("full").alias("any_full")))
+    return found.join(full, "way").filter("full = any_full").select("way", "node").distinct()
+
+
 def importance(edges: DataFrame) -> DataFrame:
     """node, in_degree and its share of the largest; edges are counted once. The maximum is one row."""
     degree = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
@@ -101,3 +112,42 @@ def resolve_name(rows: DataFrame, key: str, name: str, wanted: str) -> DataFrame
     tier: Column = F.when(n == wanted, 1).when(F.lower(n) == wanted.lower(), 2).when(F.lower(n).endswith(wanted.lower()), 3).when(F.lower(n).contains(wanted.lower()), 4)
     found = rows.withColumn("tier", tier).filter("tier is not null").select(key, name, "tier")
     return found.crossJoin(F.broadcast(found.agg(F.min("tier").alias("best")))).filter("tier = best").drop("best")
+
+
+_FILE = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".swift")
+
+
+def resolve_symbol(chunks: DataFrame, name: str, include_tests: bool = False) -> DataFrame:
+    """key and chunk_name of the chunks that name may mean: of the first tier that has any (the name, its part behind file:,
+    file:name, Class.method, the last part of a dotted name, then as resolve_name), those of the file it gives if there are
+    any, without tests, and of those left functions and methods before classes before others. More than one: ambiguous."""
+    hint, symbol = None, name
+    before, colon, after = name.rpartition(":")
+    if colon and ("/" in before or before.endswith(_FILE)):
+        hint, symbol = before, after
+    n, path = F.col("chunk_name"), F.col("file_path")
+    last = lambda x: x.rsplit("::", 1)[-1].rsplit(".", 1)[-1]
+    never = F.lit(False)
+    owner, _, method = symbol.rpartition(".")
+    owner = owner.split(".")[0]
+    tiers = [
+        n == name,
+        n == symbol,
+        (n == after) & path.contains(before) if colon else never,
+        (n == method) & (n.contains(owner) | path.contains(owner)) if method != symbol else never,
+        n.endswith("." + symbol) | n.endswith("::" + symbol) | (F.regexp_extract(n, r"[^.:]*$", 0) == last(symbol)),
+        F.lower(n) == symbol.lower(),
+        F.lower(n).endswith(symbol.lower()),
+        F.lower(n).contains(symbol.lower()),
+    ]
+    tier = F.coalesce(*[F.when(t, i) for i, t in enumerate(tiers)])
+    kind = F.when(F.col("chunk_type").isin("function", "method"), 0).when(F.col("chunk_type") == "class", 1).when(F.col("chunk_type").isin("constant", "module"), 2).otherwise(3)
+    found = chunks.select("key", "chunk_name", "file_path", tier.alias("tier"), kind.alias("kind"), (path.contains(hint) if hint else F.lit(True)).alias("hinted")).filter("tier is not null")
+
+    def least(rows: DataFrame, column: str) -> DataFrame:
+        return rows.crossJoin(F.broadcast(rows.agg(F.min(column).alias("best")))).filter(F.col(column) == F.col("best")).drop("best")
+
+    found = least(least(found, "tier").withColumn("off", ~F.col("hinted")), "off")
+    if not include_tests:
+        found = found.filter(file_category(path) != "test")
+    return least(found, "kind").select("key", "chunk_name")

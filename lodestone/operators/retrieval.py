@@ -47,6 +47,13 @@ def _fuse(lanes: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     return each.select("key", F.when(F.col("lanes") == 1, F.col("own")).otherwise(F.col("fused")).alias("score"))
 
 
+def matching_files(chunks: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """file_path of files whose path holds one of the query's first five words, for a search without results."""
+    words = query.split()[:5]
+    hit = F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.lower(F.col("file_path")).contains(w)) if words else F.lit(False)
+    return chunks.filter(hit).select("file_path").distinct().orderBy("file_path").limit(limit)
+
+
 def signatures(chunks: DataFrame, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
     """The map: key, score, signature and the hint of a docstring. A type filter comes after the search, which then goes
     three times as far."""
@@ -131,15 +138,17 @@ def context(chunks: DataFrame, query: str, o: Options | None = None) -> DataFram
     return out.select("key", "score", "tokens", "used", "slot")
 
 
-def deep(chunks: DataFrame, refs: DataFrame, name: str, tokens: int = 3000) -> DataFrame:
-    """role (target, callee, caller, overflow), key and tokens. The target is the one chunk whose name fits best; half of the
-    budget is its own at most, and callees and callers share the rest, those of its file and short ones first.
+def deep(chunks: DataFrame, refs: DataFrame, name: str, tokens: int = 3000, include_tests: bool = False) -> DataFrame:
+    """role (target, callee, caller, overflow), key and tokens. The target is the one chunk that name means; half of the
+    budget is its own at most, and callees and callers share the rest, those of its file and short ones first. If name may
+    mean several, these come back with the role ambiguous and nothing else does.
 
     refs: file_path, ref_name, containing_chunk.
     """
-    hit = graph.resolve_name(chunks, "key", "chunk_name", name).join(chunks, ["key", "chunk_name"])
-    order = Window.partitionBy(F.lit(1)).orderBy(F.when(F.col("chunk_type") == "function", 0).when(F.col("chunk_type") == "method", 1).when(F.col("chunk_type") == "class", 2).otherwise(3), "key")
-    target = hit.withColumn("n", F.row_number().over(order)).filter("n = 1").select("key", "chunk_name", "file_path", F.least(T.token_count(F.col("body")), F.lit(tokens // 2)).alias("tokens"))
+    meant = graph.resolve_symbol(chunks, name, include_tests).select("key", F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
+    hit = chunks.join(F.broadcast(meant), "key")
+    ambiguous = hit.filter("n > 1").select(F.lit("ambiguous").alias("role"), "key", T.token_count(F.col("body")).alias("tokens"))
+    target = hit.filter("n = 1").select("key", "chunk_name", "file_path", F.least(T.token_count(F.col("body")), F.lit(tokens // 2)).alias("tokens"))
     leaf = lambda c: F.element_at(F.split(c, "\\."), -1)
     t = F.broadcast(target.select(F.col("key").alias("t_key"), F.col("chunk_name").alias("t_name"), F.col("file_path").alias("t_file"), F.col("tokens").alias("t_tokens")))
     called = refs.join(t, (F.col("containing_chunk") == F.col("t_name")) & (F.col("file_path") == F.col("t_file"))).select("t_key", "t_file", "t_tokens", F.col("ref_name").alias("name")).distinct()
@@ -152,7 +161,7 @@ def deep(chunks: DataFrame, refs: DataFrame, name: str, tokens: int = 3000) -> D
     sized = near.withColumn("limit", F.floor((tokens - F.col("t_tokens")) / 2).cast("long")).withColumn("n", F.row_number().over(Window.partitionBy("role").orderBy(*first))).filter("n <= 30")
     filled = budget.greedy_fill(sized, "role", first, "key", "tokens", "limit").drop("used")
     over = sized.join(filled, ["role", "key"], "left_anti").select(F.concat("role", F.lit("_overflow")).alias("role"), "key", "tokens")
-    return target.select(F.lit("target").alias("role"), "key", "tokens").unionByName(filled.select("role", "key", "tokens")).unionByName(over)
+    return target.select(F.lit("target").alias("role"), "key", "tokens").unionByName(filled.select("role", "key", "tokens")).unionByName(over).unionByName(ambiguous)
 
 
 def recall(notes: DataFrame, query: str, as_of: float, k: int = 5, vector: list[float] | None = None) -> DataFrame:
@@ -177,6 +186,6 @@ def workflow(chunks: DataFrame, refs: DataFrame, query: str, o: Options | None =
     """The map, the context, and deep for the best function, method or class of the context (one row picks it)."""
     ctx = context(chunks, query, o)
     kind = F.when(F.col("chunk_type") == "function", 0).when(F.col("chunk_type") == "method", 1).when(F.col("chunk_type") == "class", 2)
-    best = ctx.join(chunks, "key").withColumn("kind", kind).filter("kind is not null").orderBy("kind", "slot").select("chunk_name").first()
+    best = ctx.join(chunks, "key").withColumn("kind", kind).filter("kind is not null").orderBy("kind", "slot").select("chunk_name", "file_path").first()
     out = {"map": signatures(chunks, query, map_limit), "context": ctx}
-    return out | ({"deep": deep(chunks, refs, best["chunk_name"], deep_tokens)} if best else {})
+    return out | ({"deep": deep(chunks, refs, f"{best['file_path']}:{best['chunk_name']}", deep_tokens, include_tests=True)} if best else {})

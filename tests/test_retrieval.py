@@ -182,3 +182,24 @@ def test_graph_lane_keeps_callers_of_a_busy_seed(spark):
     lane = graph.graph_lane(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("s", 2.0)], "key string, score double"))
     got = [(r.key, round(r.score, 9)) for r in lane.collect()]
     assert got == [(f"d{i:02}", 2.0) for i in range(25)] + [(f"u{i:02}", 1.8) for i in range(25)]
+
+
+def test_symbols_and_ambiguity(spark):
+    rows = [("a", "run", "app/a.py", "function"), ("b", "run", "app/b.py", "function"), ("c", "run", "tests/test_a.py", "function"), ("d", "Auth.login", "app/auth.py", "method"), ("e", "only", "tests/test_b.py", "function"), ("f", "lone", "app/c.py", "function"), ("g", "lone", "tests/test_c.py", "function"), ("h", "mix", "app/d.py", "constant"), ("i", "mix", "app/e.py", "class")]
+    chunks = spark.createDataFrame([(*r, "x = 1") for r in rows], "key string, chunk_name string, file_path string, chunk_type string, body string").cache()
+    meant = lambda name, **k: sorted(r.key for r in graph.resolve_symbol(chunks, name, **k).collect())
+    assert meant("run") == ["a", "b"] and meant("app/b.py:run") == ["b"] and meant("no/such.py:run") == ["a", "b"]
+    assert meant("run", include_tests=True) == ["a", "b", "c"] and meant("only") == [] and meant("lone") == ["f"]
+    assert meant("login") == meant("x.Auth.login") == meant("app/auth.py:Auth.login") == ["d"] and meant("mix") == ["i"]
+    refs = spark.createDataFrame([], "file_path string, ref_name string, containing_chunk string")
+    deep = lambda name: sorted((r.role, r.key) for r in retrieval.deep(chunks, refs, name).collect())
+    assert deep("run") == [("ambiguous", "a"), ("ambiguous", "b")] and deep("lone") == [("target", "f")]
+
+
+def test_suffix_lookup_and_file_names(spark, chunks):
+    edges = spark.createDataFrame([("app.auth", "app.db"), ("web.auth", "lib"), ("lib", "app.auth"), ("auth", "own")], "src string, dst string")
+    got = {(r.way, r.node) for r in graph.neighbours_of(edges, "auth").collect()}
+    assert got == {("imports", "own"), ("imported_by", "lib")}
+    assert {(r.way, r.node) for r in graph.neighbours_of(edges, "db").collect()} == {("imported_by", "app.auth")}
+    assert [r.file_path for r in retrieval.matching_files(chunks, "nothing AUTH").collect()] == ["app/auth.py", "tests/test_auth.py"]
+    assert retrieval.matching_files(chunks, " ").count() == 0
