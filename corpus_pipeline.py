@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, packing, secrets, toxicity
 from lodestone.llm.queries import table, tokenizer_path
-from lodestone.llm.simhash_dedup import near_duplicates
+from lodestone.llm.simhash_dedup import fingerprint, grouped
 from lodestone.llm.spaces import written
 
 
@@ -21,12 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, and one row of it."""
-    groups = near_duplicates(docs, k=4, radius=4)
-    first = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    """Of each group of near copies the document with the smallest doc_id stays, and one row of it. Rows of one doc_id that
+    differ are told apart by their fingerprints."""
+    groups, _ = written(grouped(docs, k=4, radius=4))
+    first = groups.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("is_first")).filter("is_first").drop("is_first")
     kept = docs.join(first.hint("shuffle_hash"), "doc_id").select(*docs.columns, "__rows")
-    once, more = kept.filter("__rows = 1"), kept.filter("__rows > 1").dropDuplicates(["doc_id"])
-    return once.unionByName(more).drop("__rows").unionByName(docs.filter("doc_id is null"))
+    once, more = kept.filter("__rows = 1").drop("__rows"), kept.filter("__rows > 1").drop("__rows")
+    clash = groups.filter("doc_id = component_id").join(first.filter("__rows > 1"), "doc_id", "left_semi")
+    stay = clash.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("__fp")).drop("component")
+    more = more.withColumn("__fp", fingerprint(F.col("text"), 4)).join(stay, ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return once.unionByName(more.select(*docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
@@ -176,14 +176,29 @@ def linked(fps: DataFrame, radius: int = 4) -> DataFrame:
     return components(cells.groupBy("cell").applyInArrow(_compare(radius), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that it reaches by links)."""
+def fingerprint(text: Column, k: int = 4) -> Column:
+    """As fingerprints() has it, for a few rows."""
+
+    def one(x):
+        h = shingle_hashes((x or "").encode(), k)
+        return int(_majority(h, [len(h) // 8]).view(np.int64)[0])
+
+    return F.udf(one, "long", useArrow=False)(text.cast("string"))
+
+
+def grouped(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fp, component (a fingerprint of the group) and component_id (the smallest doc_id that it reaches by links)."""
     each, _ = written(fingerprints(docs, k))
     nodes, _ = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = linked(nodes.select("fp"), radius)
     # Only nodes with links have a component to look up; the others keep their own smallest doc_id.
     named = nodes.join(found, nodes["fp"] == found["node"])
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "component").select("fp", F.col("component_id").alias("joined"))
-    nodes = nodes.join(of, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"))
-    return each.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = named.join(least, "component").select("fp", F.col("component_id").alias("joined"), "component")
+    nodes = nodes.join(of, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    return each.join(nodes, "fp").select("doc_id", "fp", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that it reaches by links)."""
+    return grouped(docs, k, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,10 +1,12 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_decontamination import coverage
 from test_simhash_dedup import brute
 
 import corpus_pipeline as P
+from lodestone.llm.simhash_dedup import fingerprints
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,6 +60,17 @@ def test_copies_and_rows_without_an_id(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [4, 5, None] and got.columns == docs.columns
 
 
+def test_different_texts_under_one_id(spark):
+    text = lambda x, more="": " ".join(f"{x}{i}" for i in range(400)) + more
+    rows = [(1, text("a")), (1, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (4, text("e")), (4, text("e", " z0 z1 z2")), (5, text("b"))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    fps = {r.text: r.fp for r in docs.select("text", P.fingerprint(F.col("text")).alias("fp")).collect()}
+    assert fps[text("e")] != fps[text("e", " z0 z1 z2")] and sorted(r.fp for r in fingerprints(docs).collect()) == sorted(fps[t] for _, t in rows)
+    got = sorted((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, SF).collect())
+    assert [r for r in got if r[0] != 4] == [(1, text("a")), (1, text("b")), (2, text("c")), (3, text("d"))]
+    assert len([r for r in got if r[0] == 4]) == 1  # near copies of each other
+
+
 def test_run(spark):
     got = P.run(spark, SF)
     assert got.count() > 100 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
