@@ -34,6 +34,13 @@ def neighbors_batch(spark, sf):
     return got.select("node", F.when(F.col("imports").isNotNull(), F.array_join(F.col("imports").cast("array<string>"), ",")).alias("imports"))
 
 
+# neighbors_batch reads some parts only, as its SQL does; this one reads all.
+@query("neighbors_batch_all", f"SELECT node, array_to_string(list_sort(list(dst)), ',') AS imports FROM (SELECT p_partkey AS node FROM part) n LEFT JOIN {_E} e ON e.src = n.node GROUP BY node")
+def neighbors_batch_all(spark, sf):
+    got = graph.neighbours(_edges(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("node")))
+    return got.select("node", F.when(F.col("imports").isNotNull(), F.array_join(F.col("imports").cast("array<string>"), ",")).alias("imports"))
+
+
 @query("in_degree_importance", f"WITH d AS (SELECT dst AS node, count(*) AS in_degree FROM {_E} GROUP BY dst) SELECT node, in_degree, round(in_degree / (SELECT max(in_degree) FROM d), 6) AS score FROM d")
 def in_degree_importance(spark, sf):
     return graph.importance(_edges(spark, sf)).select("node", "in_degree", F.round("score", 6).alias("score"))

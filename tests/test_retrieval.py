@@ -203,3 +203,10 @@ def test_suffix_lookup_and_file_names(spark, chunks):
     assert {(r.way, r.node) for r in graph.neighbours_of(edges, "db").collect()} == {("imported_by", "app.auth")}
     assert [r.file_path for r in retrieval.matching_files(chunks, "nothing AUTH").collect()] == ["app/auth.py", "tests/test_auth.py"]
     assert retrieval.matching_files(chunks, " ").count() == 0
+
+
+def test_neighbours_of_every_part(spark, sf_dir):
+    from lodestone.plans.queries import queries
+
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    assert {r.node for r in queries()["neighbors_batch_all"](spark, sf_dir).collect()} == parts
