@@ -1,17 +1,17 @@
 """A training corpus from raw documents: toxic documents go, one of each group of near copies stays, documents that contain
 benchmark items go, secrets are masked, and what is left is packed into sequences.
 
-Rows without a doc_id take part in every stage but near-duplicate removal, where they stay.
+Cases: rows without a doc_id take part in every stage but near-duplicate removal, where they stay; rows that share a doc_id
+are told apart throughout; null and empty texts are near copies of each other, so one of them stays; columns of any other
+name pass through up to packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, packing, secrets, toxicity
+from lodestone.llm import decontamination, packing, secrets, simhash_dedup, toxicity
 from lodestone.llm.queries import table, tokenizer_path
-from lodestone.llm.simhash_dedup import fingerprint, grouped
 from lodestone.llm.spaces import written
 
 
@@ -21,16 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, and one row of it. Rows of one doc_id that
-    differ are told apart by their fingerprints."""
-    groups, _ = written(grouped(docs, k=4, radius=4))
-    first = groups.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("is_first")).filter("is_first").drop("is_first")
-    kept = docs.join(first.hint("shuffle_hash"), "doc_id").select(*docs.columns, "__rows")
-    once, more = kept.filter("__rows = 1").drop("__rows"), kept.filter("__rows > 1").drop("__rows")
-    clash = groups.filter("doc_id = component_id").join(first.filter("__rows > 1"), "doc_id", "left_semi")
-    stay = clash.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("__fp")).drop("component")
-    more = more.withColumn("__fp", fingerprint(F.col("text"), 4)).join(stay, ["doc_id", "__fp"], "left_semi").dropDuplicates(["doc_id", "__fp"])
-    return once.unionByName(more.select(*docs.columns)).unionByName(docs.filter("doc_id is null"))
+    """Of each group of near copies the document with the smallest doc_id stays, and one row of it."""
+    return simhash_dedup.without_near_copies(docs, k=4, radius=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -44,6 +46,24 @@ def tidy(run):
     return inner
 
 
+def column(score: Callable[[pa.Array], pa.Array], returns: str):
+    """A function of a string column, from one of Arrow arrays. Only that column goes through Python; a row's others wait in
+    the JVM, which spills them."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda given: map(score, given))(batches)
+
+    return F.arrow_udf(run, returns)
+
+
+def lean(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lets the session's Arrow batches be of at most `size` bytes, unless it has a limit of its own: JVM and worker each
+    hold some batches a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(size))
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. n - 1 modulo 2 ** 64."""
     have = _powers.get(int(base))

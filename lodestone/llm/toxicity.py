@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
@@ -167,29 +167,26 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SIZE) -> Chain:
     return fit(texts, {"insult": toxic * has(INSULT), "contempt": toxic * has(CONTEMPT), "toxic": toxic})
 
 
-def scored(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs' columns and __p: the categories' probabilities, in order."""
-    at = docs.columns.index("text")
+def scored(text: Column, chain: Chain) -> Column:
+    """The categories' probabilities, in order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = [chain.score(s) for s in B.slices(batch.column(0).field(at))]
-            rows = np.concatenate(p) if p else np.zeros((0, len(chain.categories)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["row", "p"])
+    def run(column: pa.Array) -> pa.Array:
+        p = [chain.score(s) for s in B.slices(column)]
+        rows = np.concatenate(p) if p else np.zeros((0, len(chain.categories)))
+        return pa.array(rows.tolist(), pa.list_(pa.float64()))
 
-    row = F.struct(*[(F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    given = docs.select(row.alias("row"))
-    out = given.mapInArrow(B.tidy(run), given.withColumn("p", F.expr("cast(array() as array<double>)")).schema)
-    return out.select("row.*", F.col("p").alias("__p"))
+    return B.column(run, "array<double>")(text.cast("string"))
 
 
 def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, a probability p_<category> for each category, and toxic (the last one reaches the chain's threshold)."""
-    got = scored(docs.select("doc_id", "text"), chain)
-    p = [F.get("__p", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(chain.categories)]
-    return got.select(F.col("doc_id").cast("long").alias("doc_id"), *p, (F.get("__p", F.lit(len(p) - 1)) >= chain.threshold).alias("toxic"))
+    B.lean(docs.sparkSession)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(F.col("text"), chain).alias("p"))
+    p = [F.get("p", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(chain.categories)]
+    return got.select("doc_id", *p, (F.get("p", F.lit(len(p) - 1)) >= chain.threshold).alias("toxic"))
 
 
 def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs less those whose last category reaches the chain's threshold; their columns as they are."""
-    return scored(docs, chain).filter(F.get("__p", F.lit(len(chain.categories) - 1)) < chain.threshold).drop("__p")
+    B.lean(docs.sparkSession)
+    return docs.filter(F.get(scored(F.col("text"), chain), F.lit(len(chain.categories) - 1)) < chain.threshold)

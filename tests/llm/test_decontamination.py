@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from lodestone.llm import decontamination as D
 from lodestone.llm.decontamination import contaminated, greedy_tiles, without_contaminated
 
 
@@ -76,3 +77,27 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(docs, bench).first().contaminated is False
     assert contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_long_repetitive_texts_take_little_memory():
+    import tracemalloc
+
+    doc, item = np.tile(np.array([1, 2], np.uint64), 30_000), np.tile(np.array([1, 2], np.uint64), 1000)
+    tracemalloc.start()
+    tiles = greedy_tiles(doc, item, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(2000, 0, 0)] and peak < 200 << 20
+
+
+def test_repeated_items_count_and_a_common_seed_costs_no_tiling(spark, monkeypatch):
+    seed = "one two three four five"
+    items = [(i, f"{seed} {' '.join(f'w{i}x{j}' for j in range(30))}") for i in range(200)]
+    items += [(300, "alpha beta gamma delta epsilon zeta")] * 3 + [(None, "alpha beta gamma delta epsilon zeta")]
+    docs = spark.createDataFrame([(1, f"x {seed} y"), (2, f"{seed} alpha beta gamma delta epsilon"), (3, items[7][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in contaminated(docs, bench).collect()}
+    assert [(got[d].n_items, got[d].item_id) for d in (1, 2, 3)] == [(0, 0), (4, 300), (1, 7)]
+    assert abs(got[1].coverage - 5 / 35) < 1e-12 and got[3].coverage == 1.0
+    monkeypatch.setattr(D, "PART_WORDS", 1500)  # several passes give the same
+    assert {r.doc_id: r for r in contaminated(docs, bench).collect()} == got

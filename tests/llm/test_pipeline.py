@@ -6,7 +6,7 @@ from test_decontamination import coverage
 from test_simhash_dedup import brute
 
 import corpus_pipeline as P
-from lodestone.llm.simhash_dedup import fingerprints
+from lodestone.llm.simhash_dedup import fingerprint, fingerprints
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,7 +64,7 @@ def test_different_texts_under_one_id(spark):
     text = lambda x, more="": " ".join(f"{x}{i}" for i in range(400)) + more
     rows = [(1, text("a")), (1, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (4, text("e")), (4, text("e", " z0 z1 z2")), (5, text("b"))]
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    fps = {r.text: r.fp for r in docs.select("text", P.fingerprint(F.col("text")).alias("fp")).collect()}
+    fps = {r.text: r.fp for r in docs.select("text", fingerprint(F.col("text")).alias("fp")).collect()}
     assert fps[text("e")] != fps[text("e", " z0 z1 z2")] and sorted(r.fp for r in fingerprints(docs).collect()) == sorted(fps[t] for _, t in rows)
     got = sorted((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, SF).collect())
     assert [r for r in got if r[0] != 4] == [(1, text("a")), (1, text("b")), (2, text("c")), (3, text("d"))]
@@ -74,3 +74,17 @@ def test_different_texts_under_one_id(spark):
 def test_run(spark):
     got = P.run(spark, SF)
     assert got.count() > 100 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+
+
+def test_empty_table_and_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    names = ["fp", "row", "items", "p", "component", "at", "found", "spans", "sequence_id", "kept"]
+    more = docs.select("*", *[F.lit(i).alias(x) for i, x in enumerate(names)])
+    for given in (more, more.limit(0)):
+        now = given
+        for name, stage in P.STAGES[:-1]:
+            before, now = now, stage(spark, now, SF).cache()
+            assert now.columns == given.columns, name
+            assert now.count() <= before.count()
+            assert not now.count() or list(now.first()[5:]) == list(range(len(names)))
+        assert P.pack(spark, now, SF).select("doc_id").distinct().count() == now.count()

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from lodestone.llm.components import components
+from lodestone.llm import simhash_dedup as S
 from lodestone.llm.simhash_dedup import near_duplicates
 
 
@@ -66,3 +67,39 @@ def test_components(spark):
             want[a] = want[b] = min(want[a], want[b])
     got = components(spark.createDataFrame(pairs, "a long, b long"))
     assert dict(map(tuple, got.collect())) == want
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    r = random.Random(2)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(S, "PIECE", size)
+        for n in (0, 1, 3, 4, 5, 60):
+            text = "".join(r.choice(["a", "É", "bc" * 9]) + r.choice(" \n\t") * r.randrange(1, 4) for _ in range(n))
+            assert S.fingerprint_of(text.encode(), 4) % (1 << 64) == fingerprint(text)
+
+
+def test_cells_hold_all_and_rule_out_no_link():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)) for _ in range(6)], np.zeros(1, np.uint64)]))
+    kinds, sizes = np.unique(S._quarters(fp), axis=0, return_counts=True)
+    for most in (1, 5, 40, 10_000):
+        cells = S.Cells(kinds, sizes, most)
+        of = cells.of(fp.view(np.int64))
+        assert of.min() >= 0 and of.max() < len(cells.low)
+        one = cells.split[S.Cells.code(S._quarters(fp))] == 1
+        assert np.bincount(of[one]).max(initial=0) <= most
+        near = [set(cells.near(c, 4).tolist()) for c in range(len(cells.low))]
+        x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+        assert all(of[j] in near[of[i]] for i, j in zip(x.tolist(), y.tolist()))
+
+
+def test_many_cells_give_the_same(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 62, 200)
+    fps = np.unique(np.concatenate([base, base ^ 5, base ^ (1 << 61), base ^ (7 << 30), r.integers(0, 1 << 62, 400)]))
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    want = sorted(map(tuple, S.linked(df).collect()))
+    monkeypatch.setattr(S, "CELL", 16)
+    monkeypatch.setattr(S, "GROUP", 32)
+    assert len({c for _, c in want}) >= 200 and sorted(map(tuple, S.linked(df).collect())) == want
