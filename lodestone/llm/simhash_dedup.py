@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
-from .components import components
+from .components import Forest, components
 from .spaces import unused, written
 
 SEED = 42
@@ -101,24 +101,6 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
-class Forest:
-    """Union-find over 0 .. n - 1; a root is its tree's smallest."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            a, b = self.up[a], self.up[b]
-            apart = a != b
-            if not apart.any():
-                return
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := self.up[self.up], self.up):
-                self.up = up
-
-
 def links(left: np.ndarray, right: np.ndarray | None, radius: int, forest: Forest, at_left: np.ndarray, at_right: np.ndarray | None) -> None:
     """Join in forest what lies within the radius; right None: pairs within left."""
     own = right is None
@@ -268,5 +250,4 @@ def without_near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFra
     groups, _ = written(grouped(each, radius).select("component", F.struct("doc_id", "fp", "row").alias("at")))
     first = groups.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     gone = groups.join(first, "component").filter(F.col("at") != F.col("first")).select(F.col("at.row").alias(row))
-    gone, _ = written(gone)
     return numbered.join(gone, row, "left_anti").select(*docs.columns)

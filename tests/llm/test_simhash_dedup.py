@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from lodestone.llm import components as C
 from lodestone.llm.components import components
 from lodestone.llm import simhash_dedup as S
 from lodestone.llm.simhash_dedup import near_duplicates
@@ -56,7 +58,9 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW", few)  # rounds only, some rounds, one task
     r = np.random.default_rng(1)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, int(x)) for x in r.integers(200, 400, 300)] + [(300, 90), (300, 300)]
     want = {}
@@ -67,6 +71,7 @@ def test_components(spark):
             want[a] = want[b] = min(want[a], want[b])
     got = components(spark.createDataFrame(pairs, "a long, b long"))
     assert dict(map(tuple, got.collect())) == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_long_texts_are_taken_in_pieces(monkeypatch):
