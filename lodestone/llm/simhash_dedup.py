@@ -250,4 +250,5 @@ def without_near_copies(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFra
     groups, _ = written(grouped(each, radius).select("component", F.struct("doc_id", "fp", "row").alias("at")))
     first = groups.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     gone = groups.join(first, "component").filter(F.col("at") != F.col("first")).select(F.col("at.row").alias(row))
+    gone, _ = written(gone)  # a table of known size: few enough rows are broadcast, and texts stay where they are
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
