@@ -5,17 +5,20 @@ longer beginning with its own. Their lines (blocks of text) are aligned by longe
 both pages have go. Pages in a row that are copies of each other (recrawls, other query strings, mirrored rows) would delete
 each other, so the page beside is the nearest one before or after the whole run of them: pages are copies when COPY of their
 text agrees, by the characters in lines outside what markup sets beside it. With nothing but copies on its host a page is
-compared with none. So a host whose pages all differ in less than a tenth of their text keeps the lines they share. Two kinds of line are sure from markup alone and overrule the comparison: lines within an article or
-main element stay though the other page repeats them, and lines in navigation, headers, footers, asides, forms, adverts,
-notices and comments go though the other page lacks them (or there is none).
+compared with none. So a host whose pages all differ in less than a tenth of their text keeps the lines they share.
 
-One range partitioning by host, path and page_id brings neighbours together, so a host may hold any share of the pages. The
-first and the last page of a partition are compared with the one neighbour that they have there. A run of copies is held
-until it ends, equal lines once.
+Markup supports the comparison where it can't know. Lines within an article or main element stay though the other page
+repeats them; and what the other page lacks (or there is none) goes if it stands in navigation, headers, footers, asides,
+forms, adverts, notices or comments. n_shared and n_marked count the lines that went by the one and the other.
+
+One range partitioning by host, path and page_id brings neighbours together, so a host may hold any share of the pages. What
+a partition can decide by itself is done there; its first and its last run of copies, which may go on in other partitions,
+meet the pages beside them afterwards. So the result is the same for any partitioning. A run is held until it ends or its
+partition does, equal lines once; aligning takes memory for the root of the other page's lines only.
 
 Cases: null and empty pages have no text; null or unreadable URLs have the empty host and path; rows that share a page_id or
-URL, or have none, each get a row; unclosed tags, comments and scripts end with their parent or the page; an empty table
-gives an empty result; other columns are ignored.
+URL, or have none, each get a row; unclosed tags, comments and scripts end with their parent or the page; a very long page
+takes a few times its size; an empty table gives an empty result; other columns may have any name and are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +26,17 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from math import isqrt
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "page_id long, url string, text string, n_chars long, n_shared long"
+from . import bytewords as B
+from .spaces import written
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -53,6 +60,8 @@ MARKS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcr
 
 #: The share of two pages' text that copies have in common.
 COPY = 0.9
+#: Characters in a batch of rows on their way out.
+CHUNK = 1 << 21
 
 _SURE, _OPEN, _BESIDE = 1, 0, 2
 
@@ -119,27 +128,40 @@ def _within(stack: list[tuple[str, str]], mark: str) -> bool:
     return any(m == mark for _, m in stack)
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence with b, by the bit-parallel method."""
-    where: dict[str, int] = {}
+def common(a: Sequence, b: Sequence) -> set[int]:
+    """Places in a of a longest common subsequence with b, by the bit-parallel method. Every so many of its rows are kept,
+    and those between are made again on the way back."""
+    where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
-    v, rows = full, []
-    for x in b:
-        m = v & where.get(x, 0)
-        v = (v + m | v - m) & full
-        rows.append(v)
-    # A zero bit at place i of row j: the subsequence of a[:i + 1] and b[:j + 1] is one longer than that of a[:i].
+
+    def rows(v: int, part: Sequence) -> list[int]:
+        """v and the rows that follow. A zero bit at place i of a row: the subsequence of a[:i + 1] and b so far is one longer
+        than that of a[:i]."""
+        out = [v]
+        for x in part:
+            m = v & where.get(x, 0)
+            v = (v + m | v - m) & full
+            out.append(v)
+        return out
+
+    step = isqrt(len(b)) + 1
+    parts = [b[j : j + step] for j in range(0, len(b), step)]
+    kept = [full]
+    for part in parts:
+        kept.append(rows(kept[-1], part)[-1])
     got, i = set(), len(a) - 1
-    for j in range(len(b) - 1, -1, -1):
-        while i >= 0 and rows[j] >> i & 1:
-            i -= 1
-        if i < 0:
-            break
-        if j == 0 or rows[j - 1] >> i & 1:
-            got.add(i)
-            i -= 1
+    for v, part in zip(reversed(kept[:-1]), reversed(parts), strict=True):
+        below = rows(v, part)
+        for j in range(len(part), 0, -1):
+            while i >= 0 and below[j] >> i & 1:
+                i -= 1
+            if i < 0:
+                return got
+            if below[j - 1] >> i & 1:
+                got.add(i)
+                i -= 1
     return got
 
 
@@ -152,70 +174,179 @@ def _shared(a: str, b: str) -> int:
     return n
 
 
-def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> tuple[str, int]:
-    """The text, and how many lines went because the other page has them."""
+Lines = list[tuple[str, int]]
+
+
+def main_text(own: Lines, other: Lines | None) -> tuple[str, int, int]:
+    """The text, how many lines went because the other page has them, and how many by markup alone."""
     both = common([t for t, _ in own], [t for t, _ in other]) if other else set()
-    kept = [t for i, (t, kind) in enumerate(own) if kind == _SURE or kind == _OPEN and i not in both]
-    return "\n".join(kept), sum(own[i][1] != _SURE for i in both)
+    gone = {i for i in both if own[i][1] != _SURE}
+    left = [(t, kind) for i, (t, kind) in enumerate(own) if i not in gone]
+    kept = [t for t, kind in left if kind != _BESIDE]
+    return "\n".join(kept), len(gone), len(left) - len(kept)
 
 
-def copies(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
+def copies(a: Lines, b: Lines) -> bool:
     """Whether pages are copies: their lines (nearly) all agree, those beside the text left out."""
     x, y = (Counter(t for t, kind in page if kind != _BESIDE) for page in (a, b))
     most = max(sum(len(t) * n for t, n in c.items()) for c in (x, y))
     return most > 0 and sum(len(t) * n for t, n in (x & y).items()) >= COPY * most
 
 
+@dataclass
+class Page:
+    host: str
+    path: str
+    page_id: int | None
+    url: str | None
+    lines: Lines
+
+    def follows(self, other: Page) -> bool:
+        """Whether this page continues a run of copies."""
+        return self.host == other.host and copies(other.lines, self.lines)
+
+
+def beside(page: Page, before: Page | None, after: Page | None) -> Page | None:
+    """Of the pages before and after a run, that with which one of its pages is compared."""
+    best = None
+    for other in (before, after):
+        if other and other.host == page.host and not copies(page.lines, other.lines) and (best is None or _shared(other.path, page.path) > _shared(best.path, page.path)):
+            best = other
+    return best
+
+
+# What a row of a partition is: a page that is done; one of a run at its beginning, at its end, or of the only run there; or
+# a page that others may need beside them: the first, the last, that after the first run and that before the last.
+_DONE, _HEAD, _TAIL, _ONLY, _FIRST, _LAST, _AFTER, _BEFORE = range(8)
+_PAGE = "host string, path string, page_id long, url string, lines array<string>, kinds array<byte>"
+_ROWS = f"part long, role int, {_PAGE}, text string, n_shared long, n_marked long"
+
+
+class _Rows:
+    """Rows on their way out, as batches."""
+
+    KINDS = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.string(), pa.int64(), pa.int64())
+    NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+
+    def __init__(self, part: int):
+        self.part, self.rows, self.size = part, [], 0
+
+    def done(self, page: Page, found: tuple[str, int, int]) -> None:
+        self.rows.append((self.part, _DONE, None, None, page.page_id, page.url, None, None, *found))
+        self.size += len(found[0])
+
+    def open(self, role: int, page: Page) -> None:
+        self.rows.append((self.part, role, page.host, page.path, page.page_id, page.url, [t for t, _ in page.lines], [k for _, k in page.lines], None, None, None))
+        self.size += sum(len(t) for t, _ in page.lines)
+
+    def batches(self, least: int) -> Iterator[pa.RecordBatch]:
+        if self.size >= least or len(self.rows) >= 5000 or not least:
+            columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(self.KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, self.KINDS, strict=True)], names=self.NAMES)
+            self.rows, self.size = [], 0
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages in order of host and path."""
-    out: tuple[list, ...] = ([], [], [], [], [])
-
-    def batch() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
-        for x in out:
-            x.clear()
-        return made
-
-    def put(before, run, after) -> Iterator[pa.RecordBatch]:
-        own = other = text = n = None
-        for page in run:
-            best = None
-            for beside in (before, after):
-                if beside and beside[0] == page[0] and not (len(run) > 1 and copies(page[4], beside[4])) and (best is None or _shared(beside[1], page[1]) > _shared(best[1], page[1])):
-                    best = beside
-            if text is None or page[4] is not own or best is not other:
-                own, other = page[4], best
-                text, n = main_text(own, best and best[4])
-            for column, x in zip(out, (page[2], page[3], text, len(text), n), strict=True):
-                column.append(x)
-            if len(out[0]) >= 500:
-                yield batch()
-
-    before, run = None, []
+    out = _Rows(TaskContext.get().partitionId())
+    before, run, first = None, [], True
     known: dict[tuple[str, int], tuple[str, int]] = {}  # a run's lines
     for b in batches:
         for host, path, page_id, url, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
-            got = lines(text.as_py() or "")
-            page = (host, path, page_id, url, got)
-            if run and run[-1][0] == host and copies(run[-1][4], got):
-                same = got == run[-1][4]
-                run.append((host, path, page_id, url, run[-1][4] if same else [known.setdefault(x, x) for x in got]))
+            page = Page(host, path, page_id, url, lines(text.as_py() or ""))
+            if run and page.follows(run[-1]):
+                page.lines = run[-1].lines if page.lines == run[-1].lines else [known.setdefault(x, x) for x in page.lines]
+                run.append(page)
                 continue
-            if run:
-                yield from put(before, run, page)
-                before = run[-1]
-            run, known = [page], {x: x for x in got}
+            if run and first:
+                out.open(_FIRST, run[0])
+                out.open(_AFTER, page)
+                for one in run:
+                    out.open(_HEAD, one)
+                    yield from out.batches(CHUNK)
+                first = False
+            elif run:
+                own = other = found = None
+                for one in run:
+                    best = beside(one, before, page)
+                    if found is None or one.lines is not own or best is not other:
+                        own, other = one.lines, best
+                        found = main_text(own, best and best.lines)
+                    out.done(one, found)
+                    yield from out.batches(CHUNK)
+            before = run[-1] if run else None
+            run, known = [page], {x: x for x in page.lines}
     if run:
-        yield from put(before, run, None)
-    yield batch()
+        if first:
+            out.open(_FIRST, run[0])
+        else:
+            out.open(_BEFORE, before)
+        out.open(_LAST, run[-1])
+        for one in run:
+            out.open(_ONLY if first else _TAIL, one)
+            yield from out.batches(CHUNK)
+    yield from out.batches(0)
+
+
+def _pages(column: pa.StructArray) -> list[Page | None]:
+    return [x and Page(x["host"], x["path"], x["page_id"], x["url"], list(zip(x["lines"], x["kinds"], strict=True))) for x in column.to_pylist()]
+
+
+def _follows(one: pa.Array, other: pa.Array) -> pa.Array:
+    return pa.array([bool(x and y and x.follows(y)) for x, y in zip(_pages(one), _pages(other), strict=True)])
+
+
+def _found(page: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+    out = []
+    for x, y, z in zip(_pages(page), _pages(before), _pages(after), strict=True):
+        best = beside(x, y, z)
+        out.append(main_text(x.lines, best and best.lines))
+    names = ("text", "n_shared", "n_marked")
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=names)
+
+
+def _ends(parts: DataFrame) -> DataFrame:
+    """part, role and the pages before and after its run, for the runs at partitions' ends. parts: _run's rows."""
+    spark = parts.sparkSession
+    page = F.struct("host", "path", "page_id", "url", "lines", "kinds").alias("page")
+    contexts = parts.filter(F.col("role") >= _FIRST).select("part", "role", page)
+    # The driver gets three numbers of each partition that has pages, no page.
+    roles = contexts.groupBy("part").agg(F.max((F.col("role") == _AFTER).cast("int")).alias("more")).orderBy("part").collect()
+    order, single = [r["part"] for r in roles], [not r["more"] for r in roles]
+    follows = spark.createDataFrame([*zip(order[1:], order, strict=False)], "part long, prior long")
+    pairs = follows.join(contexts.filter(F.col("role") == _FIRST).select("part", F.col("page").alias("one")), "part")
+    pairs = pairs.join(contexts.filter(F.col("role") == _LAST).select(F.col("part").alias("prior"), F.col("page").alias("other")), "prior")
+    joined = {r["part"] for r in pairs.select("part", F.arrow_udf(_follows, "boolean")("one", "other").alias("same")).filter("same").select("part").collect()}
+    n, wanted = len(order), []
+    back: list = [None] * n  # the page before each partition's first run: partition and role
+    for i in range(1, n):
+        back[i] = (order[i - 1], _LAST) if order[i] not in joined else back[i - 1] if single[i - 1] else (order[i - 1], _BEFORE)
+    ahead: list = [None] * n
+    for i in range(n - 2, -1, -1):
+        ahead[i] = (order[i + 1], _FIRST) if order[i + 1] not in joined else ahead[i + 1] if single[i + 1] else (order[i + 1], _AFTER)
+    for i, part in enumerate(order):
+        if single[i]:
+            wanted.append((part, _ONLY, back[i], ahead[i]))
+        else:
+            wanted += [(part, _HEAD, back[i], (part, _AFTER)), (part, _TAIL, (part, _BEFORE), ahead[i])]
+    ends = spark.createDataFrame(wanted, "part long, role int, back struct<part:long,role:int>, ahead struct<part:long,role:int>")
+    for side, name in (("back", "before"), ("ahead", "after")):
+        ends = ends.join(contexts.select(F.struct("part", "role").alias(side), F.col("page").alias(name)), side, "left")
+    return ends.select("part", "role", "before", "after")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and n_shared (lines that went because the paired page has them)."""
+    """page_id, url, text, n_chars, n_shared (lines that went because the paired page has them) and n_marked (lines that
+    went by markup alone)."""
+    B.lean(pages.sparkSession)
     url = F.col("url").cast("string")
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     given = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"))
     order = ["host", "path", "page_id", "url"]
-    return given.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_run, SCHEMA)
+    parts, _ = written(given.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("html")).mapInArrow(B.tidy(_run), _ROWS))
+    done = parts.filter(F.col("role") == _DONE).select("page_id", "url", "text", "n_shared", "n_marked")
+    open_ = parts.filter(F.col("role").isin(_HEAD, _TAIL, _ONLY)).select("part", "role", F.struct("host", "path", "page_id", "url", "lines", "kinds").alias("page"))
+    found = F.arrow_udf(_found, "text string, n_shared long, n_marked long")("page", "before", "after").alias("found")
+    late = open_.join(_ends(parts), ["part", "role"]).select("page.page_id", "page.url", found).select("page_id", "url", "found.*")
+    return done.unionByName(late).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")

@@ -42,7 +42,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     executor may be lost afterwards."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
