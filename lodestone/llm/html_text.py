@@ -11,9 +11,10 @@ Markup supports the comparison where it can't know. Lines within an article or m
 repeats them; and what the other page lacks (or there is none) goes if it stands in navigation, headers, footers, asides,
 forms, adverts, notices or comments. n_shared and n_marked count the lines that went by the one and the other.
 
-One range partitioning by host, path and page_id brings neighbours together, so a host may hold any share of the pages. What
-a partition can decide by itself is done there; its first and its last run of copies, which may go on in other partitions,
-meet the pages beside them afterwards. So the result is the same for any partitioning. A run is held until it ends or its
+Pages are parsed where they are read, and their lines dealt out by ranges of host, path and page_id (bounds from a sample of
+SAMPLE keys a partition), so that neighbours come together and a host may hold any share of the pages. What a partition can
+decide by itself is done there; its first and its last run of copies, which may go on in other partitions, meet the pages
+beside them afterwards. So the result is the same for any partitioning. A run is held until it ends or its
 partition does, equal lines once; aligning takes memory for the root of the other page's lines only.
 
 Cases: null and empty pages have no text; null or unreadable URLs have the empty host and path; rows that share a page_id or
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from . import bytewords as B
 from .spaces import written
@@ -60,6 +63,8 @@ MARKS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcr
 
 #: The share of two pages' text that copies have in common.
 COPY = 0.9
+#: Keys a partition in the sample that sets the ranges' bounds.
+SAMPLE = 20
 #: Characters in a batch of rows on their way out.
 CHUNK = 1 << 21
 
@@ -218,14 +223,23 @@ def beside(page: Page, before: Page | None, after: Page | None) -> Page | None:
 # What a row of a partition is: a page that is done; one of a run at its beginning, at its end, or of the only run there; or
 # a page that others may need beside them: the first, the last, that after the first run and that before the last.
 _DONE, _HEAD, _TAIL, _ONLY, _FIRST, _LAST, _AFTER, _BEFORE = range(8)
-_PAGE = "host string, path string, page_id long, url string, lines array<string>, kinds array<byte>"
+# Lines hold no line feed, so they travel as one string, and their kinds as digits.
+_PAGE = "host string, path string, page_id long, url string, lines string, kinds string"
 _ROWS = f"part long, role int, {_PAGE}, text string, n_shared long, n_marked long"
 
 
+def _strings(own: Lines) -> tuple[str, str]:
+    return "\n".join(t for t, _ in own), "".join(str(k) for _, k in own)
+
+
+def _lines(texts: str, kinds: str) -> Lines:
+    return list(zip(texts.split("\n"), map(int, kinds), strict=True)) if kinds else []
+
+
 class _Rows:
     """Rows on their way out, as batches."""
 
-    KINDS = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.string(), pa.int64(), pa.int64())
+    KINDS = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
     NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
     def __init__(self, part: int):
@@ -236,7 +250,7 @@ class _Rows:
         self.size += len(found[0])
 
     def open(self, role: int, page: Page) -> None:
-        self.rows.append((self.part, role, page.host, page.path, page.page_id, page.url, [t for t, _ in page.lines], [k for _, k in page.lines], None, None, None))
+        self.rows.append((self.part, role, page.host, page.path, page.page_id, page.url, *_strings(page.lines), None, None, None))
         self.size += sum(len(t) for t, _ in page.lines)
 
     def batches(self, least: int) -> Iterator[pa.RecordBatch]:
@@ -248,12 +262,12 @@ class _Rows:
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages in order of host and path."""
-    out = _Rows(TaskContext.get().partitionId())
+    out, plain = _Rows(TaskContext.get().partitionId()), ZstdDecompressor()
     before, run, first = None, [], True
     known: dict[tuple[str, int], tuple[str, int]] = {}  # a run's lines
     for b in batches:
-        for host, path, page_id, url, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
-            page = Page(host, path, page_id, url, lines(text.as_py() or ""))
+        for host, path, page_id, url, texts, kinds in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), b.column(5), strict=True):
+            page = Page(host, path, page_id, url, _lines(plain.decompress(texts.as_py()).decode(), kinds.as_py()))
             if run and page.follows(run[-1]):
                 page.lines = run[-1].lines if page.lines == run[-1].lines else [known.setdefault(x, x) for x in page.lines]
                 run.append(page)
@@ -289,7 +303,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pages(column: pa.StructArray) -> list[Page | None]:
-    return [x and Page(x["host"], x["path"], x["page_id"], x["url"], list(zip(x["lines"], x["kinds"], strict=True))) for x in column.to_pylist()]
+    return [x and Page(x["host"], x["path"], x["page_id"], x["url"], _lines(x["lines"], x["kinds"])) for x in column.to_pylist()]
 
 
 def _follows(one: pa.Array, other: pa.Array) -> pa.Array:
@@ -335,6 +349,32 @@ def _ends(parts: DataFrame) -> DataFrame:
     return ends.select("part", "role", "before", "after")
 
 
+def _key(host: str, path: str, page_id: int | None, url: str | None, row: int) -> tuple:
+    return host, path, page_id is not None, page_id or 0, url is not None, url or "", row
+
+
+def _dealt(given: DataFrame) -> DataFrame:
+    """given's pages as lines (compressed), in partitions by ranges of host, path, page_id and URL, sorted by these."""
+    spark = given.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Equal rows may lie in different partitions, so there may be any number of them.
+    given = given.withColumn("row", F.monotonically_increasing_id())
+    order = ["host", "path", "page_id", "url", "row"]
+    rate = min(1.0, parts * SAMPLE / max(1, given.count()))
+    some = given.select(order).filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).collect()
+    keys = sorted(_key(*r) for r in some)
+    bounds = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+
+    def parsed(html: pa.Array, host: pa.Array, path: pa.Array, page_id: pa.Array, url: pa.Array, row: pa.Array) -> pa.Array:
+        found, pressed = [_strings(lines(x.as_py() or "")) for x in html], ZstdCompressor()
+        part = [bisect_right(bounds, _key(*key)) for key in zip(*(x.to_pylist() for x in (host, path, page_id, url, row)), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(part, pa.int32()), pa.array([pressed.compress(t.encode()) for t, _ in found], pa.binary()), pa.array([k for _, k in found], pa.string())], names=["part", "lines", "kinds"])
+
+    page = F.arrow_udf(parsed, "part int, lines binary, kinds string")("html", *order).alias("page")
+    dealt = given.select(*order, page).select(*order, "page.*").repartitionById(parts, "part").sortWithinPartitions(*order)
+    return dealt.select("host", "path", "page_id", "url", "lines", "kinds")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared (lines that went because the paired page has them) and n_marked (lines that
     went by markup alone)."""
@@ -343,8 +383,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     given = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"))
-    order = ["host", "path", "page_id", "url"]
-    parts, _ = written(given.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("html")).mapInArrow(B.tidy(_run), _ROWS))
+    parts, _ = written(_dealt(given).mapInArrow(B.tidy(_run), _ROWS))
     done = parts.filter(F.col("role") == _DONE).select("page_id", "url", "text", "n_shared", "n_marked")
     open_ = parts.filter(F.col("role").isin(_HEAD, _TAIL, _ONLY)).select("part", "role", F.struct("host", "path", "page_id", "url", "lines", "kinds").alias("page"))
     found = F.arrow_udf(_found, "text string, n_shared long, n_marked long")("page", "before", "after").alias("found")
