@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import MARKED, PLAIN, words
 
 K1, B = 1.2, 0.75
 #: Terms of a query that count.
@@ -16,9 +17,7 @@ TERMS = 12
 
 def phrase(term: str) -> list[str]:
     """The words of a query item; more than one make a phrase."""
-    import re
-
-    return re.findall(r"[^\W_]+", term.lower())
+    return re.findall(r"[^\W_]+", term.lower().translate(str.maketrans(MARKED, PLAIN)))
 
 
 def _phrases(tokens: Column, wanted: list[str]) -> Column:

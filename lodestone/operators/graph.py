@@ -41,7 +41,7 @@ def importance(edges: DataFrame) -> DataFrame:
 
 def graph_lane(edges: DataFrame, seeds: DataFrame, per_seed: int = 25, limit: int = 50) -> DataFrame:
     """seeds: key, score. key and score of what seeds call (1.0 of the seed's score) and of what calls them (0.9); per_seed
-    of either a seed, the best score of each, without the seeds."""
+    of either a seed, the best score of each, without the seeds. name_lane has the other neighbours."""
     s = F.broadcast(seeds.limit(12))
     down = s.join(edges, F.col("key") == F.col("src")).select("key", F.col("dst").alias("other"), F.col("score").alias("got"), F.lit("down").alias("way"))
     up = s.join(edges, F.col("key") == F.col("dst")).select("key", F.col("src").alias("other"), (F.col("score") * 0.9).alias("got"), F.lit("up").alias("way"))
@@ -52,20 +52,74 @@ def graph_lane(edges: DataFrame, seeds: DataFrame, per_seed: int = 25, limit: in
     return best.orderBy(F.col("score").desc(), "key").limit(limit)
 
 
+def name_lane(seeds: DataFrame, refs: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, per_seed: int = 25, per_name: int = 4, limit: int = 80) -> DataFrame:
+    """key and score of the chunks beside the twelve best seeds (key, chunk_name, file_path, score): those that they call by
+    name (1.0), methods with the last part of a dotted name that they call (0.95), those that call them (0.9) and, with
+    edges of modules, the first chunks of the files next to theirs (0.7); the best score of each, without the seeds. Of
+    each seed 25 names either way count, and of each name the chunks of the first four files.
+
+    refs: file_path, ref_name, containing_chunk."""
+    from . import modules
+
+    best = F.broadcast(seeds.orderBy(F.col("score").desc(), "key").limit(12).select("key", "chunk_name", "file_path"))
+
+    def capped(rows: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("n") <= most).drop("n")
+
+    down = refs.join(best.select(F.col("chunk_name").alias("containing_chunk")).distinct(), "containing_chunk").select("containing_chunk", F.col("ref_name").alias("name")).filter("name <> ''").distinct()
+    down = capped(down, "containing_chunk", ["name"], per_seed).select("name").distinct()
+    up = refs.join(best.select(F.col("chunk_name").alias("ref_name")).distinct(), "ref_name").select("ref_name", F.col("containing_chunk").alias("name")).filter("name <> ''").distinct()
+    up = capped(up, "ref_name", ["name"], per_seed).select("name").distinct()
+
+    def named(names: DataFrame, score: float, rows: DataFrame, name: Column) -> DataFrame:
+        met = rows.withColumn("name", name).join(F.broadcast(names), "name")
+        return capped(met, "name", ["file_path", "key"], per_name).select("key", F.lit(score).alias("score"))
+
+    leaf = lambda c: F.regexp_extract(c, r"[^.]*$", 0)
+    dotted = down.filter(F.col("name").contains(".")).select(leaf(F.col("name")).alias("name")).distinct()
+    methods = chunks.filter((F.col("chunk_type") == "method") & F.col("chunk_name").contains("."))
+    near = named(down, 1.0, chunks, F.col("chunk_name")).unionByName(named(dotted, 0.95, methods, leaf(F.col("chunk_name")))).unionByName(named(up, 0.9, chunks, F.col("chunk_name")))
+    if edges is not None:
+        near = near.unionByName(modules.import_lane(best, edges, chunks))
+    out = near.groupBy("key").agg(F.max("score").alias("score")).join(best.select("key"), "key", "left_anti")
+    return out.orderBy(F.col("score").desc(), "key").limit(limit)
+
+
+def _level(length: Column) -> Column:
+    """The power of two that holds a span of this length, so that it lies in two neighbouring cells of that size at most."""
+    return F.ceil(F.log2(length.cast("double") + 1)).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _met(points: DataFrame, spans: DataFrame, by: str, point: str, width: Column) -> DataFrame:
+    """points and spans of the same `by` whose cells meet: a candidate each time a span may hold a point. A span is in its own
+    cells, a point in one cell of every size that spans have (64 at most), so the join's keys are fine however many spans a
+    `by` has."""
+    held = spans.withColumn("__level", _level(width)).withColumn("__cell", F.explode(F.array_distinct(F.array(_cell(F.col("start"), F.col("__level")), _cell(F.col("end"), F.col("__level"))))))
+    levels = F.broadcast(held.agg(F.collect_set("__level").alias("__levels")))
+    dealt = points.crossJoin(levels).withColumn("__level", F.explode("__levels")).withColumn("__cell", _cell(F.col(point), F.col("__level"))).drop("__levels")
+    return dealt.join(held, [by, "__level", "__cell"]).drop("__level", "__cell")
+
+
 def narrowest(points: DataFrame, spans: DataFrame, by: str, point: str, key: str) -> DataFrame:
-    """points with owner: the shortest span (by, start, end, span) of the same `by` that contains the point, the first of
-    equals; null for none. The equality on `by` comes first; spans of one `by` are few."""
-    inside = points.join(spans, by).filter((F.col(point) >= F.col("start")) & (F.col(point) <= F.col("end")))
+    """points with owner: the shortest span (by, start, end, span; whole numbers) of the same `by` that contains the point,
+    the first of equals; null for none."""
+    some = points.select(by, point, key)
+    inside = _met(some, spans.select(by, "start", "end", "span").filter(F.col("end") >= F.col("start")), by, point, F.col("end") - F.col("start"))
+    inside = inside.filter((F.col(point) >= F.col("start")) & (F.col(point) <= F.col("end")))
     best = inside.groupBy(key).agg(F.min_by("span", F.struct(F.col("end") - F.col("start"), F.col("span"))).alias("owner"))
     return points.join(best, key, "left")
 
 
 def overlap_dedup(spans: DataFrame, by: str, enough: int = 3) -> DataFrame:
     """Wholes that contain `enough` parts or more go; of other wholes the parts go. spans: by, span, kind (whole or part),
-    start, end."""
-    whole, part = spans.filter("kind = 'whole'").alias("w"), spans.filter("kind = 'part'").alias("p")
-    pairs = whole.join(part, F.col(f"w.{by}") == F.col(f"p.{by}")).filter("p.start >= w.start and p.end <= w.end")
-    pairs = pairs.select(F.col("w.span").alias("whole"), F.col("p.span").alias("part"))
+    start, end (whole numbers)."""
+    whole = spans.filter("kind = 'whole' and end >= start").select(by, "start", "end", F.col("span").alias("whole"))
+    part = spans.filter("kind = 'part'").select(by, F.col("start").alias("from"), F.col("end").alias("to"), F.col("span").alias("part"))
+    pairs = _met(part, whole, by, "from", F.col("end") - F.col("start")).filter((F.col("from") >= F.col("start")) & (F.col("to") <= F.col("end")) & (F.col("from") <= F.col("end"))).select("whole", "part")
     counts = pairs.groupBy("whole").agg(F.count("*").alias("n"))
     drop_whole = counts.filter(F.col("n") >= enough).select(F.col("whole").alias("span"))
     drop_part = pairs.join(counts.filter(F.col("n") < enough), "whole", "left_semi").select(F.col("part").alias("span")).distinct()
@@ -81,7 +135,7 @@ def expand(rows: DataFrame, hits: DataFrame, by: str, at: str, reach: int) -> Da
 
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """imports: src, target; modules: fqn. target resolved to a module: by its full name, else by the only module that ends
+    """imports: src, target; modules: fqn. target resolved to a module: by its full name, else by the first module that ends
     with .target, else by the only one with its last part."""
     leaf = lambda c: F.element_at(F.split(c, "\\."), -1)
     full = modules.select(F.col("fqn").alias("target"), F.col("fqn").alias("r1"))

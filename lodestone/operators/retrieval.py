@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import budget, fulltext, fusion, graph, vectors
+from . import budget, fulltext, fusion, graph, lookup, vectors
 
 #: Weights of a chunk's fields.
 FIELDS = {"chunk_name": 5.0, "file_path": 5.0, "signature": 3.0, "body": 1.0}
@@ -47,11 +47,7 @@ def _fuse(lanes: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     return each.select("key", F.when(F.col("lanes") == 1, F.col("own")).otherwise(F.col("fused")).alias("score"))
 
 
-def matching_files(chunks: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """file_path of files whose path holds one of the query's first five words, for a search without results."""
-    words = query.split()[:5]
-    hit = F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.lower(F.col("file_path")).contains(w)) if words else F.lit(False)
-    return chunks.filter(hit).select("file_path").distinct().orderBy("file_path").limit(limit)
+matching_files = lookup.matching_files
 
 
 def signatures(chunks: DataFrame, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
@@ -71,6 +67,8 @@ class Options:
     importance: DataFrame | None = None  # key, importance
     recency: DataFrame | None = None  # file_path, age_days
     edges: DataFrame | None = None  # src, dst: keys
+    refs: DataFrame | None = None  # file_path, ref_name, containing_chunk
+    modules: DataFrame | None = None  # src, dst: modules that import
     similar: DataFrame | None = None  # key, vector
     vector: list[float] | None = None
     seen: DataFrame | None = None  # keys that the session has had
@@ -84,7 +82,10 @@ def candidates(chunks: DataFrame, query: str, o: Options) -> DataFrame:
     is nothing."""
     lexical = search(chunks, query, CANDIDATES)
     lanes = {"lexical": (lexical, 3.0)}
-    if o.edges is not None:
+    if o.refs is not None:
+        seeds = lexical.orderBy(F.col("score").desc(), "key").limit(12).join(chunks, "key").select("key", "chunk_name", "file_path", "score")
+        lanes["graph"] = (graph.name_lane(seeds, o.refs, chunks, o.modules), 2.0)
+    elif o.edges is not None:
         lanes["graph"] = (graph.graph_lane(o.edges, lexical).join(chunks, "key", "left_semi"), 2.0)
     if o.similar is not None and o.vector:
         near = lexical.select("key").unionByName(lanes["graph"][0].select("key")).distinct() if "graph" in lanes else lexical.select("key")
@@ -182,10 +183,30 @@ def recall(notes: DataFrame, query: str, as_of: float, k: int = 5, vector: list[
     return fulltext.top(fused.join(kept, "key", "left_semi"), "key", k)
 
 
+def expanded(chunks: DataFrame, picked: DataFrame, tokens: int, include_tests: bool = True, reach: int = 10) -> DataFrame:
+    """key, tokens, used and why (module, header, near) of what stands beside a context's chunks: their files' module chunks,
+    the first five lines of their methods' classes, and chunks within `reach` lines, as they fit. Tests are left out
+    here once more: what is beside may be one. picked: key."""
+    have = chunks.join(F.broadcast(picked.select("key")), "key").select("key", "file_path", "chunk_name", "chunk_type", "start_line", "end_line")
+    h = F.broadcast(have.select("file_path", F.col("key").alias("h_key"), F.col("chunk_name").alias("h_name"), F.col("chunk_type").alias("h_type"), F.col("start_line").alias("h_start"), F.col("end_line").alias("h_end")))
+    beside = chunks.join(h, "file_path").filter(F.col("key") != F.col("h_key"))
+    owner = (F.col("chunk_type") == "class") & (F.col("h_type") == "method") & F.col("h_name").startswith(F.concat("chunk_name", F.lit(".")))
+    close = F.least(F.abs(F.col("start_line") - F.col("h_end")), F.abs(F.col("h_start") - F.col("end_line"))) <= reach
+    why = F.when(F.col("chunk_type") == "module", 0).when(owner, 1).when(close, 2)
+    body = F.when(F.col("why") == 1, F.array_join(F.slice(F.split("body", "\n", -1), 1, 5), "\n")).otherwise(F.col("body"))
+    found = beside.withColumn("why", why).filter("why is not null").groupBy("key").agg(F.min("why").alias("why")).join(picked.select("key"), "key", "left_anti").join(chunks, "key")
+    if not include_tests:
+        found = found.filter(T.file_category(F.col("file_path")) != "test")
+    sized = found.withColumn("tokens", T.token_count(body)).withColumn("q", F.lit(1)).withColumn("name", F.element_at(F.array(F.lit("module"), F.lit("header"), F.lit("near")), F.col("why") + 1))
+    got = budget.greedy_fill(sized, "q", [F.col("why"), F.col("file_path"), F.col("start_line"), F.col("key")], "key", "tokens", tokens, ["name"])
+    return got.select("key", "tokens", "used", F.col("name").alias("why"))
+
+
 def workflow(chunks: DataFrame, refs: DataFrame, query: str, o: Options | None = None, map_limit: int = 20, deep_tokens: int = 3000) -> dict[str, DataFrame]:
-    """The map, the context, and deep for the best function, method or class of the context (one row picks it)."""
-    ctx = context(chunks, query, o)
-    kind = F.when(F.col("chunk_type") == "function", 0).when(F.col("chunk_type") == "method", 1).when(F.col("chunk_type") == "class", 2)
-    best = ctx.join(chunks, "key").withColumn("kind", kind).filter("kind is not null").orderBy("kind", "slot").select("chunk_name", "file_path").first()
-    out = {"map": signatures(chunks, query, map_limit), "context": ctx}
+    """The map, the context, and deep for the context's best function, method or class, or the map's best chunk (one row picks
+    it)."""
+    ctx, listed = context(chunks, query, o), signatures(chunks, query, map_limit)
+    facts = chunks.select("key", "chunk_name", "file_path", "chunk_type")
+    best = lookup.deep_target(ctx.select("key", "slot").join(facts, "key"), listed.select("key", "score").join(facts, "key")).first()
+    out = {"map": listed, "context": ctx}
     return out | ({"deep": deep(chunks, refs, f"{best['file_path']}:{best['chunk_name']}", deep_tokens, include_tests=True)} if best else {})

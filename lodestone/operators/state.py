@@ -48,13 +48,29 @@ def without_file(path: str, chunks: DataFrame, index: DataFrame, refs: DataFrame
     return chunks.filter(p), index.filter(p), refs.filter(p), edges.filter((F.col("source_module") != module) & (F.col("target_module") != module))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str, parts: int = 64) -> DataFrame:
+    """rows with a number from 1 in this order. Rows are dealt by ranges of the first column, whose bounds come from a sample
+    of some 20 keys a range, numbered within, and moved on by the ranges' sizes: no task orders them all."""
+    first = F.col(order[0])
+    total = max(1, rows.count())
+    rate = min(1 << 30, int(20 * parts / total * (1 << 30)) + 1)
+    keys = [r[0] for r in rows.filter(first.isNotNull() & (F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < rate)).select(first).orderBy(first).collect()]
+    bounds = [F.lit(keys[len(keys) * i // parts]) for i in range(1, parts)] if keys else []
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= first)) if bounds else F.lit(0)
+    dealt = rows.withColumn("__part", F.when(first.isNull(), -1).otherwise(part))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of at most parts + 1 rows
+    sizes = dealt.groupBy("__part").count().select("__part", before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__within", within).join(F.broadcast(sizes), "__part").withColumn(name, F.col("__before") + F.col("__within")).drop("__part", "__within", "__before")
+
+
 def inserted(store: DataFrame, fresh: DataFrame, digest: str, order: Sequence[str], number: str = "display_id") -> DataFrame:
     """The store and the fresh rows whose digest is new (the first of equals), numbered on from the largest number given so
-    far. fresh is one batch of notes."""
-    new = fresh.withColumn("__n", F.row_number().over(Window.partitionBy(digest).orderBy(*order))).filter("__n = 1").drop("__n").join(store.select(digest), digest, "left_anti")
+    far."""
+    new = fresh.groupBy(digest).agg(F.min_by(F.struct(*fresh.columns), F.struct(*order)).alias("__row")).select("__row.*").join(store.select(digest), digest, "left_anti")
     last = F.broadcast(store.agg(F.coalesce(F.max(number), F.lit(0)).cast("long").alias("__last")))
-    numbered = new.crossJoin(last).withColumn(number, F.col("__last") + F.row_number().over(Window.orderBy(*order))).drop("__last")
-    return store.unionByName(numbered.select(*store.columns))
+    onward = numbered(new, order, "__n").crossJoin(last).withColumn(number, F.col("__last") + F.col("__n")).drop("__last", "__n")
+    return store.unionByName(onward.select(*store.columns))
 
 
 def touched(notes: DataFrame, key: str, ids: Sequence, at: float) -> DataFrame:

@@ -27,16 +27,8 @@ def callees(spark, sf):
     return graph.callees(_edges(spark, sf), 7)
 
 
-@query("neighbors_batch", f"SELECT node, array_to_string(list_sort(list(dst)), ',') AS imports FROM (SELECT p_partkey AS node FROM part WHERE p_size <= 10) n LEFT JOIN {_E} e ON e.src = n.node GROUP BY node")
+@query("neighbors_batch", f"SELECT node, array_to_string(list_sort(list(dst)), ',') AS imports FROM (SELECT p_partkey AS node FROM part) n LEFT JOIN {_E} e ON e.src = n.node GROUP BY node")
 def neighbors_batch(spark, sf):
-    nodes = table(spark, sf, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("node"))
-    got = graph.neighbours(_edges(spark, sf), nodes)
-    return got.select("node", F.when(F.col("imports").isNotNull(), F.array_join(F.col("imports").cast("array<string>"), ",")).alias("imports"))
-
-
-# neighbors_batch reads some parts only, as its SQL does; this one reads all.
-@query("neighbors_batch_all", f"SELECT node, array_to_string(list_sort(list(dst)), ',') AS imports FROM (SELECT p_partkey AS node FROM part) n LEFT JOIN {_E} e ON e.src = n.node GROUP BY node")
-def neighbors_batch_all(spark, sf):
     got = graph.neighbours(_edges(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("node")))
     return got.select("node", F.when(F.col("imports").isNotNull(), F.array_join(F.col("imports").cast("array<string>"), ",")).alias("imports"))
 
@@ -145,7 +137,7 @@ def retrieval_kpis(spark, sf):
 
 @query("index_percentile", "SELECT event_type, list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS INT) + 1] AS p95 FROM events GROUP BY event_type")
 def index_percentile(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(telemetry.percentile_by_index(F.col("value"), 0.95).alias("p95"))
+    return telemetry.element_at_share(table(spark, sf, "events"), "event_type", "value", 0.95, "p95")
 
 
 @query("burn_rate", "SELECT count(*) AS active_days, round(avg(total), 4) AS daily, round(avg(total) * 7, 4) AS weekly, round(avg(total) * 30, 4) AS monthly, round(avg(total) * 30 / 1000000 * 15, 6) AS monthly_cost FROM (SELECT CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY 1)")

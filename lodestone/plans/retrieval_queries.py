@@ -9,35 +9,6 @@ from ..sources import code
 from .catalog import query, table
 from .search_queries import TERMS, _sql_bm25, _sql_rrf
 
-_SRC = "(SELECT DISTINCT l_suppkey AS side, l_partkey AS item, p_size AS tokens FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey <= 20 AND l_partkey < 500)"
-
-
-@query(
-    "deep_pack",
-    f"""WITH RECURSIVE base AS (SELECT side, item, tokens, row_number() OVER (PARTITION BY side ORDER BY tokens, item) AS rn FROM {_SRC}),
-go AS (SELECT DISTINCT side, 0 AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS item, 0 AS tokens, false AS taken FROM base
-UNION ALL SELECT b.side, b.rn, CASE WHEN go.used + b.tokens <= 150 THEN go.used + b.tokens ELSE go.used END, b.item, b.tokens, go.used + b.tokens <= 150 FROM go JOIN base b ON b.side = go.side AND b.rn = go.rn + 1)
-SELECT side, item, CAST(tokens AS BIGINT) AS tokens, used FROM go WHERE taken""",
-)
-def deep_pack(spark, sf):
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("tokens"))
-    sides = table(spark, sf, "lineitem").filter("l_suppkey <= 20 and l_partkey < 500").select(F.col("l_suppkey").alias("side"), F.col("l_partkey").alias("item")).distinct()
-    return budget.greedy_fill(sides.join(parts, "item"), "side", [F.col("tokens"), F.col("item")], "item", "tokens", 150)
-
-
-@query(
-    "deep_overflow",
-    f"""WITH RECURSIVE base AS (SELECT side, item, tokens, row_number() OVER (PARTITION BY side ORDER BY tokens, item) AS rn FROM {_SRC}),
-go AS (SELECT DISTINCT side, 0 AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS item, false AS taken FROM base
-UNION ALL SELECT b.side, b.rn, CASE WHEN go.used + b.tokens <= 150 THEN go.used + b.tokens ELSE go.used END, b.item, go.used + b.tokens <= 150 FROM go JOIN base b ON b.side = go.side AND b.rn = go.rn + 1)
-SELECT side, item FROM go WHERE rn > 0 AND NOT taken""",
-)
-def deep_overflow(spark, sf):
-    sides = table(spark, sf, "lineitem").filter("l_suppkey <= 20 and l_partkey < 500").select(F.col("l_suppkey").alias("side"), F.col("l_partkey").alias("item")).distinct()
-    return sides.join(deep_pack(spark, sf), ["side", "item"], "left_anti")
-
-
-# deep_pack and deep_overflow read a few sides only, as their SQL does; these two read all of lineitem.
 _FILL = """WITH RECURSIVE base AS (SELECT side, item, tokens, row_number() OVER (PARTITION BY side ORDER BY tokens, item) AS rn FROM (SELECT DISTINCT l_suppkey AS side, l_partkey AS item, p_size AS tokens FROM lineitem JOIN part ON l_partkey = p_partkey)),
 go AS (SELECT DISTINCT side, 0 AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS item, 0 AS tokens, false AS taken FROM base
 UNION ALL SELECT b.side, b.rn, CASE WHEN go.used + b.tokens <= 150 THEN go.used + b.tokens ELSE go.used END, b.item, b.tokens, go.used + b.tokens <= 150 FROM go JOIN base b ON b.side = go.side AND b.rn = go.rn + 1)"""
@@ -48,21 +19,21 @@ def _sides(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("side"), F.col("l_partkey").alias("item")).distinct().join(parts, "item")
 
 
-@query("deep_pack_all", f"{_FILL} SELECT side, item, CAST(tokens AS BIGINT) AS tokens, used FROM go WHERE taken")
-def deep_pack_all(spark, sf):
+@query("deep_pack", f"{_FILL} SELECT side, item, CAST(tokens AS BIGINT) AS tokens, used FROM go WHERE taken")
+def deep_pack(spark, sf):
     return budget.greedy_fill(_sides(spark, sf), "side", [F.col("tokens"), F.col("item")], "item", "tokens", 150)
 
 
-@query("deep_overflow_all", f"{_FILL} SELECT side, item FROM go WHERE rn > 0 AND NOT taken")
-def deep_overflow_all(spark, sf):
-    return _sides(spark, sf).select("side", "item").join(deep_pack_all(spark, sf), ["side", "item"], "left_anti")
+@query("deep_overflow", f"{_FILL} SELECT side, item FROM go WHERE rn > 0 AND NOT taken")
+def deep_overflow(spark, sf):
+    return _sides(spark, sf).select("side", "item").join(deep_pack(spark, sf), ["side", "item"], "left_anti")
 
 
 _NOTES = "(SELECT conv_id * 1000 + turn AS key, text AS content, role AS tags FROM conversations)"
 _AS_OF = 86400.0 * 400
 _TEXT = f"WITH {_sql_bm25(_NOTES, 'key', {'content': 1.0, 'tags': 1.0}, TERMS, False)} SELECT key, score FROM scored ORDER BY round(score, 9) DESC, key LIMIT 60"
 _WORDS = "', '".join(TERMS)
-_OVER = f"SELECT key, score FROM (SELECT key, (SELECT sum(CASE WHEN list_contains(w, q) THEN 1.0 WHEN len(list_filter(w, lambda x: starts_with(q, x) OR starts_with(x, q))) > 0 THEN 0.5 ELSE 0 END) FROM (SELECT unnest(['{_WORDS}']) AS q)) / 4 AS score FROM (SELECT key, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {_NOTES})) WHERE score > 0 ORDER BY round(score, 9) DESC, key LIMIT 60"
+_OVER = f"SELECT key, score FROM (SELECT key, (SELECT sum(CASE WHEN list_contains(w, q) THEN 1.0 WHEN len(list_filter(w, lambda x: starts_with(q, x) OR starts_with(x, q))) > 0 THEN 0.5 ELSE 0 END) FROM (SELECT unnest(['{_WORDS}']) AS q)) / 4 AS score FROM (SELECT key, list_distinct(regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {_NOTES})) WHERE score > 0 ORDER BY round(score, 9) DESC, key LIMIT 60"
 _PRIOR = f"SELECT key, 0.45 / (1 + (key % 390) / 30.0) + 0.25 + 0.2 * ((key % 10) / 10.0) + 0.1 * least(key % 40, 20) / 20.0 AS score FROM {_NOTES} ORDER BY round(0.45 / (1 + (key % 390) / 30.0) + 0.25 + 0.2 * ((key % 10) / 10.0) + 0.1 * least(key % 40, 20) / 20.0, 9) DESC, key LIMIT 60"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import budget, fulltext, fusion, vectors
+from ..operators import budget, fulltext, fusion, graph, vectors
 from .catalog import query, table
 
 TERMS = ["thor", "reea", "whst", "inor"]
@@ -15,7 +15,7 @@ R = "[\\p{L}\\p{N}]+"
 
 def _sql_bm25(source: str, key: str, fields: dict[str, float], terms: list[str], every: bool) -> str:
     """Scores by unnesting words; a term of two words is counted by neighbouring places."""
-    tok = " UNION ALL ".join(f"SELECT {key} AS k, {w} AS w, generate_subscripts(t, 1) AS pos, unnest(t) AS term FROM (SELECT {key}, regexp_extract_all(lower({f}), '{R}') AS t FROM {source})" for f, w in fields.items())
+    tok = " UNION ALL ".join(f"SELECT {key} AS k, {w} AS w, generate_subscripts(t, 1) AS pos, unnest(t) AS term FROM (SELECT {key}, regexp_extract_all(strip_accents(lower({f})), '{R}') AS t FROM {source})" for f, w in fields.items())
     hits = []
     for j, t in enumerate(terms):
         p = t.split()
@@ -153,12 +153,12 @@ def prompt_packing(spark, sf):
     return fusion.prompt_order(got, "doc_id", F.col("score"), F.col("doc_id") % 15, F.floor(F.col("n_chars") / 4)).select("doc_id", "slot")
 
 
-@query("vocab", f"SELECT term, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{R}')) AS term FROM documents) GROUP BY term")
+@query("vocab", f"SELECT term, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '{R}')) AS term FROM documents) GROUP BY term")
 def vocab(spark, sf):
     return fulltext.vocabulary(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("nearest_terms", f"SELECT term, doc FROM (SELECT term, count(DISTINCT doc_id) AS doc FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{R}')) AS term FROM documents) GROUP BY term) WHERE substr(term, 1, 3) IN ('tho', 'ree') ORDER BY doc DESC, term LIMIT 15")
+@query("nearest_terms", f"SELECT term, doc FROM (SELECT term, count(DISTINCT doc_id) AS doc FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '{R}')) AS term FROM documents) GROUP BY term) WHERE substr(term, 1, 3) IN ('tho', 'ree') ORDER BY doc DESC, term LIMIT 15")
 def nearest_terms(spark, sf):
     return fulltext.nearest_terms(vocab(spark, sf), ["thorx", "reex", "z"], 15)
 
@@ -169,7 +169,7 @@ def map_signatures(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.get(F.split("text", "\n", -1), F.lit(0)).alias("signature"), T.docstring_hint(text).alias("hint"))
 
 
-@query("overlap_lane", f"WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{R}')) AS w FROM documents) SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, (SELECT sum(CASE WHEN list_contains(w, q) THEN 1.0 WHEN len(list_filter(w, lambda x: starts_with(q, x) OR starts_with(x, q))) > 0 THEN 0.5 ELSE 0 END) FROM (SELECT unnest(['thor', 'reeab', 'zzz', 'ande']) AS q)) / 4 AS score FROM w) ORDER BY round(score, 9) DESC, doc_id LIMIT 30")
+@query("overlap_lane", f"WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '{R}')) AS w FROM documents) SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, (SELECT sum(CASE WHEN list_contains(w, q) THEN 1.0 WHEN len(list_filter(w, lambda x: starts_with(q, x) OR starts_with(x, q))) > 0 THEN 0.5 ELSE 0 END) FROM (SELECT unnest(['thor', 'reeab', 'zzz', 'ande']) AS q)) / 4 AS score FROM w) ORDER BY round(score, 9) DESC, doc_id LIMIT 30")
 def overlap_lane(spark, sf):
     got = table(spark, sf, "documents").select("doc_id", fulltext.overlap_score(F.col("text"), ["thor", "reeab", "zzz", "ande"]).alias("score"))
     return _ranked(got, 30)
@@ -187,15 +187,21 @@ def cosine_topk(spark, sf):
 
 
 _COS = "SELECT vec_id AS doc_id, score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)) AS score FROM embeddings) WHERE score > 0 ORDER BY round(score, 9) DESC, vec_id LIMIT 50"
-_GRAPH = "SELECT l_partkey AS doc_id, max(1.0 * l_quantity) AS score FROM lineitem WHERE l_suppkey <= 3 GROUP BY l_partkey ORDER BY round(max(l_quantity), 9) DESC, l_partkey LIMIT 50"
+_E = "(SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
+_SEEDS = f"(SELECT doc_id AS key, round(score, 9) AS score FROM ({_OR}) ORDER BY round(score, 9) DESC, doc_id LIMIT 12)"
+_NEAR = f"(SELECT key, dst AS other, score AS got, 1 AS way FROM {_SEEDS} s JOIN {_E} e ON s.key = e.src UNION SELECT key, src, score * 0.9, 2 FROM {_SEEDS} s JOIN {_E} e ON s.key = e.dst)"
+_GRAPH = f"SELECT other AS doc_id, max(got) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key, way ORDER BY got DESC, other) AS n FROM {_NEAR}) WHERE n <= 25 AND other NOT IN (SELECT key FROM {_SEEDS}) GROUP BY other ORDER BY max(got) DESC, other LIMIT 50"
 
 
 @query("hybrid_fusion", f"SELECT doc_id, round(score, 6) AS score FROM {_sql_rrf({'lexical': (_OR, 3.0), 'graph': (_GRAPH, 2.0), 'semantic': (_COS, 2.0)}, 'doc_id')}")
 def hybrid_fusion(spark, sf):
+    """The graph lane's seeds are the lexical lane's best."""
     lexical, _ = _lanes(table(spark, sf, "documents"))
     cos = vectors.cosine(table(spark, sf, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf)).withColumnRenamed("vec_id", "doc_id")
-    graph = table(spark, sf, "lineitem").filter("l_suppkey <= 3").groupBy(F.col("l_partkey").alias("doc_id")).agg(F.max("l_quantity").cast("double").alias("score"))
-    lanes = {"lexical": (lexical, 3.0), "graph": (fulltext.top(graph, "doc_id", 50), 2.0), "semantic": (fulltext.top(cos, "doc_id", 50), 2.0)}
+    seeds = fulltext.top(lexical, "doc_id", 12).select(F.col("doc_id").alias("key"), F.round("score", 9).alias("score"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    near = graph.graph_lane(edges, seeds).withColumnRenamed("key", "doc_id")
+    lanes = {"lexical": (lexical, 3.0), "graph": (near, 2.0), "semantic": (fulltext.top(cos, "doc_id", 50), 2.0)}
     return fusion.reciprocal_rank_fusion(lanes, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 

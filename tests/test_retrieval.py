@@ -172,8 +172,8 @@ def test_packing_takes_every_edge(spark, sf_dir):
             used[side] = used.get(side, 0) + size[item]
             want.add((side, item, size[item], used[side]))
     made = queries()
-    packed = {(r.side, r.item, r.tokens, r.used) for r in made["deep_pack_all"](spark, sf_dir).collect()}
-    over = {(r.side, r.item) for r in made["deep_overflow_all"](spark, sf_dir).collect()}
+    packed = {(r.side, r.item, r.tokens, r.used) for r in made["deep_pack"](spark, sf_dir).collect()}
+    over = {(r.side, r.item) for r in made["deep_overflow"](spark, sf_dir).collect()}
     assert packed == want and over == {e for e in edges if e[1] in size} - {x[:2] for x in want}
 
 
@@ -209,4 +209,4 @@ def test_neighbours_of_every_part(spark, sf_dir):
     from lodestone.plans.queries import queries
 
     parts = {r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
-    assert {r.node for r in queries()["neighbors_batch_all"](spark, sf_dir).collect()} == parts
+    assert {r.node for r in queries()["neighbors_batch"](spark, sf_dir).collect()} == parts
