@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from .fulltext import K1, TERMS, B, phrase
 
-BUCKETS = 64
+#: Buckets of terms, and tasks that write one.
+BUCKETS, SHARES = 64, 8
 
 
 @dataclass
@@ -33,22 +34,21 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def build(rows: DataFrame, key: str, fields: Mapping[str, float], buckets: int = BUCKETS) -> Index:
-    """rows are read once for the postings and once for the totals; a term's postings are grouped row by row, so no term is
-    ever in one place as a whole."""
+    """Keys are unique. A term's places are grouped by row, so no term is ever in one place as a whole."""
     split = [words(F.col(f)) for f in fields]
     length = reduce(lambda a, b: a + b, [F.size(w) for w in split]).cast("long")
     each = rows.select(key, length.alias("length"), F.explode(F.array(*[F.struct(F.lit(i).alias("field"), w.alias("words")) for i, w in enumerate(split)])).alias("f"))
-    terms = F.array_distinct("f.words")
-    by_term = each.select(key, "length", F.col("f.field").alias("field"), F.col("f.words").alias("w"), F.explode(terms).alias("term"))
-    places = F.filter(F.transform("w", lambda x, i: F.when(x == F.col("term"), i)), lambda i: i.isNotNull())
-    postings = by_term.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", key, "field", places.alias("places"), "length")
+    at = each.select(key, "length", F.col("f.field").alias("field"), F.posexplode("f.words").alias("place", "term"))
+    grouped = at.groupBy("term", key, "field", "length").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    postings = grouped.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", key, "field", "places", "length")
     weights = F.array(*[F.lit(float(w)) for w in fields.values()])
     totals = rows.select(length.alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).select("n", "mean", weights.alias("weights"), F.lit(buckets).alias("buckets"))
     return Index(postings, totals, key)
 
 
 def save(index: Index, path: str) -> None:
-    dealt = index.postings.repartition("bucket").sortWithinPartitions("bucket", "term", index.key)
+    # A frequent term's bucket is written by several tasks.
+    dealt = index.postings.repartition(F.col("bucket"), F.pmod(F.xxhash64(index.key), F.lit(SHARES))).sortWithinPartitions("bucket", "term", index.key)
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     index.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
@@ -57,6 +57,10 @@ def load(spark: SparkSession, path: str, key: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"), key)
 
 
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
 def bm25(index: Index, terms: Sequence[str], every: bool = False) -> DataFrame:
     """key and score as fulltext.bm25 has them, from the postings of the terms' words alone."""
     key, spark = index.key, index.postings.sparkSession
@@ -74,7 +78,7 @@ def bm25(index: Index, terms: Sequence[str], every: bool = False) -> DataFrame:
         first = F.coalesce(F.try_element_at("at", F.lit(p[0])), F.expr("cast(array() as array<int>)"))
         for i, w in enumerate(p[1:], 1):
             then = F.coalesce(F.try_element_at("at", F.lit(w)), F.expr("cast(array() as array<int>)"))
-            first = F.array_intersect(first, F.transform(then, lambda x, i=i: x - i))
+            first = F.array_intersect(first, _moved(then, i))
         return F.size(first)
 
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in whole["weights"]]), F.col("field") + 1)
