@@ -7,7 +7,8 @@ Landmarks are documents of the sample, as many of each language as can be. The m
 sample (`size` documents of each language).
 
 Cases: `und` with score 0 for null texts and texts without a letter, and for all if no language was learned; rows that share
-a doc_id, or have none, each get a row; an empty table gives an empty result; other columns are ignored.
+a doc_id, or have none, each get a row; a very long text is read whole, in memory for some thirty times its bytes; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

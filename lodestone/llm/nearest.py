@@ -32,8 +32,8 @@ from .bytewords import U, mix
 from .spaces import written
 
 TABLES, HASHES, WIDTH, PROBES, SAMPLE = 4, 4, 1.0, 140, 2000
-#: Entries of a cell in one task, and the number of larger cells at most (then cells of more entries count as usual).
-BLOCK, HOT = 4096, 10_000
+#: Entries of a cell in one task.
+BLOCK = 4096
 SEED = 11
 
 
@@ -159,13 +159,12 @@ def _merge(n: int):
     return run
 
 
-def _salted(index: DataFrame, asks: DataFrame, entries: int) -> tuple[DataFrame, DataFrame]:
-    """Both with salt: cells above the limit in blocks, queries to each block of their cell."""
-    limit = max(BLOCK, TABLES * entries // HOT)
-    hot = index.groupBy("tab", "cell").count().filter(F.col("count") > limit).select("tab", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    # Fewer than TABLES x entries / limit rows: HOT at most.
-    index = index.join(F.broadcast(hot), ["tab", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    asks = asks.join(F.broadcast(hot), ["tab", "cell"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+def _salted(index: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with salt: cells of more than BLOCK entries in blocks, queries to each block of their cell."""
+    # Fewer than TABLES rows for BLOCK entries; whether that is broadcast is up to its size.
+    hot = index.groupBy("tab", "cell").count().filter(F.col("count") > BLOCK).select("tab", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    index = index.join(hot, ["tab", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    asks = asks.join(hot, ["tab", "cell"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
     return index, asks
 
 
@@ -191,7 +190,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, tables_probes: in
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k nearest other rows found,
     or all there are, if fewer. vectors: vec_id, embedding."""
     n = k + 1  # the query itself may be among them
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    # Floats travel as floats; distances are of doubles.
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     good = good.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).filter(fine)
     # The window's limit is applied before the shuffle too, so that a vector many rows have sends few of them.
@@ -203,9 +204,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, tables_probes: in
     sample = entries.orderBy(F.xxhash64(F.get("ids", F.lit(0)))).limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
     spread = [_matrix_spread(x) for _, x in _matrix(sample)] if len(sample) else []
     width = WIDTH * (max(spread, default=1.0) or 1.0)
-    asks = asked.mapInArrow(_asks(width, tables_probes), "tab int, cell long, qid long, vector array<double>")
-    index = entries.select("ids", "vector").mapInArrow(_index(width), "tab int, cell long, ids array<long>, vector array<double>")
-    index, asks = _salted(index, asks, count)
+    asks = asked.mapInArrow(_asks(width, tables_probes), f"tab int, cell long, qid long, vector array<{kind}>")
+    index = entries.select("ids", "vector").mapInArrow(_index(width), f"tab int, cell long, ids array<long>, vector array<{kind}>")
+    index, asks = _salted(index, asks)
     place = ["tab", "cell", "salt"]
     lists = asks.groupBy(*place).cogroup(index.groupBy(*place)).applyInArrow(_rank(n), "qid long, ids array<long>, distances array<double>")
     best = lists.groupBy("qid").applyInArrow(_merge(n), "qid long, ids array<long>, distances array<double>")

@@ -7,8 +7,8 @@ first: all pieces of a length that meet the same remaining room are placed in on
 then take the slots that their rank within their length has in the plan. Ranks come from groups of about RANKS pieces of
 one length and the groups' sums, so one length may hold any share of all pieces.
 
-Cases: a null or empty text is the end id alone; rows that share a doc_id, or have none, are packed each for itself; an
-empty table gives an empty result; other columns are ignored. Special tokens' strings in a text become what the
+Cases: a null or empty text is the end id alone; rows that share a doc_id, or have none, are packed each for itself; a very
+long text becomes pieces of the capacity, its ids (four bytes each) held at once; an empty table gives an empty result; other columns are ignored. Special tokens' strings in a text become what the
 tokenizer makes of them.
 """
 

@@ -3,10 +3,11 @@
 A whole document is UTF-8 bytes, cut into chunks of CHUNK places whose bytes overlap by the filters' width less one. Learned
 filters run over every place; a chunk keeps each filter's largest response, a document the mean and the maximum of its
 chunks', and a logistic layer makes one probability of them. The network is fitted on the driver by Adam on a bounded sample
-(`size` documents of each label); training looks at up to DRAWN chunks of a document at a time, scoring at all.
+(`size` documents of each label), over all of each document's chunks.
 
 Cases: a null or empty text is a chunk of padding alone and gets a score like any other; with no labels the score is 0.5;
-rows that share a doc_id, or have none, each get a row; an empty table gives an empty result; other columns are ignored.
+rows that share a doc_id, or have none, each get a row; a very long text is scored whole, in memory for some forty times its
+bytes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from . import bytewords as B
 from .sampling import draw
 
 WIDTH, FILTERS, CHUNK = 6, 8, 250
-SIZE, DRAWN, EPOCHS, BATCH, RATE = 1500, 8, 8, 32, 0.01
+SIZE, EPOCHS, BATCH, RATE = 1500, 8, 32, 0.01
+#: Chunks whose responses are held at a time in training.
+HELD = 2048
 #: Bytes of a slice: the responses beside it take 4 x FILTERS times as much.
 SLICE = 1 << 18
 
@@ -74,6 +77,45 @@ def score(net: Net, pairs: list[np.ndarray], s: B.Slice) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def _chunks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks of a document's bytes (with its padding), and how many places each has."""
+    places = max(1, len(raw) - WIDTH)
+    k = -(-places // CHUNK)
+    data = np.zeros(k * CHUNK + WIDTH - 1, raw.dtype)
+    whole = raw[: places + WIDTH - 1]
+    data[: len(whole)] = whole
+    x = np.lib.stride_tricks.sliding_window_view(data, CHUNK + WIDTH - 1)[::CHUNK]
+    return x, np.minimum(CHUNK, places - CHUNK * np.arange(k))
+
+
+def gradients(w: list[np.ndarray], docs: list[np.ndarray], y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean logistic loss of documents' bytes, and its derivatives by the filters (WIDTH x 256 x FILTERS), their bias, the
+    weights of mean and maximum, and the base."""
+    parts = [_chunks(d) for d in docs]
+    n = np.array([len(x) for x, _ in parts])
+    x, places = np.concatenate([x for x, _ in parts]), np.concatenate([p for _, p in parts])
+    first, doc = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    peak, pre = np.empty((len(x), w[1].size), np.int64), np.empty((len(x), w[1].size), w[0].dtype)
+    for i in range(0, len(x), HELD):
+        some = x[i : i + HELD]
+        resp = sum(w[0][j][some[:, j : j + CHUNK]] for j in range(WIDTH))
+        resp[np.arange(CHUNK) >= places[i : i + HELD, None]] = -np.inf
+        peak[i : i + HELD] = resp.argmax(axis=1)
+        pre[i : i + HELD] = np.take_along_axis(resp, peak[i : i + HELD, None], 1)[:, 0] + w[1]
+    pooled = np.maximum(pre, 0)
+    mean, most = np.add.reduceat(pooled, first, axis=0) / n[:, None], np.maximum.reduceat(pooled, first, axis=0)
+    z = np.clip(mean @ w[2] + most @ w[3] + w[4], -30, 30)
+    loss = float(np.mean(np.logaddexp(0, z) - y * z))
+    dz = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(w[0].dtype)
+    dpool = (dz[:, None] * w[2] / n[:, None])[doc] + (dz[:, None] * w[3])[doc] * (pooled == most[doc])
+    dpool *= pre > 0
+    grads = [np.zeros_like(w[0]), dpool.sum(0), mean.T @ dz, most.T @ dz, dz.sum(keepdims=True)]
+    rows, f = np.nonzero(dpool)
+    for j in range(WIDTH):
+        np.add.at(grads[0][j], (x[rows, peak[rows, f] + j], f), dpool[rows, f])
+    return loss, grads
+
+
 def fit(texts: list[str], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Net:
     r = np.random.default_rng(seed)
     w = [r.normal(0, 0.1, (WIDTH, 256, FILTERS)), np.zeros(FILTERS), r.normal(0, 0.3, FILTERS), r.normal(0, 0.3, FILTERS), np.zeros(1)]
@@ -85,32 +127,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS) ->
         order = r.permutation(len(raw))
         for at in range(0, len(order), BATCH):
             these = order[at : at + BATCH]
-            chunks, places_of, n = [], [], []
-            for d in these:
-                places = max(1, len(raw[d]) - WIDTH)
-                k = -(-places // CHUNK)
-                some = np.sort(r.choice(k, DRAWN, replace=False)) if k > DRAWN else np.arange(k)
-                n.append(len(some))
-                for c in some:
-                    c = raw[d][c * CHUNK : min(places, (c + 1) * CHUNK) + WIDTH - 1]
-                    places_of.append(len(c) - WIDTH + 1)
-                    chunks.append(np.pad(c, (0, CHUNK + WIDTH - 1 - len(c))))
-            x, n = np.array(chunks), np.array(n)
-            first, doc = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-            resp = sum(w[0][j][x[:, j : j + CHUNK]] for j in range(WIDTH))
-            resp[np.arange(CHUNK) >= np.array(places_of)[:, None]] = -np.inf
-            peak = resp.argmax(axis=1)
-            pre = np.take_along_axis(resp, peak[:, None], 1)[:, 0] + w[1]
-            pooled = np.maximum(pre, 0)
-            mean, most = np.add.reduceat(pooled, first, axis=0) / n[:, None], np.maximum.reduceat(pooled, first, axis=0)
-            z = mean @ w[2] + most @ w[3] + w[4]
-            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[these]).astype(np.float32) / len(these)
-            dpool = (dz[:, None] * w[2] / n[:, None])[doc] + (dz[:, None] * w[3])[doc] * (pooled == most[doc])
-            dpool *= pre > 0
-            grads = [np.zeros_like(w[0]), dpool.sum(0), mean.T @ dz, most.T @ dz, dz.sum(keepdims=True)]
-            rows, f = np.nonzero(dpool)
-            for j in range(WIDTH):
-                np.add.at(grads[0][j], (x[rows, peak[rows, f] + j], f), dpool[rows, f])
+            _, grads = gradients(w, [raw[d] for d in these], y[these])
             step += 1
             for p, g, (m, v) in zip(w, grads, moments, strict=True):
                 m += 0.1 * (g - m)

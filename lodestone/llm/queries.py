@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from importlib.util import find_spec
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +12,7 @@ from .substring_dedup import repeated_passages
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """A public tokenizer's file, installed with the Python of driver and executors; LODESTONE_TOKENIZER overrides it."""
-    own = os.environ.get("LODESTONE_TOKENIZER")
-    if own or find_spec("public_tokenizers") is None:
-        return own or f"/opt/tokenizers/{name}"
+    """A public tokenizer's file, installed with the Python of driver and executors."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

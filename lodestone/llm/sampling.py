@@ -19,7 +19,8 @@ def draw(docs: DataFrame, labels: DataFrame, column: str, size: int) -> pa.Table
     than `size`. labels: doc_id and columns, with null values of `column` left out. Which rows come is a matter of their
     doc_id's hash alone. Only the values' counts and the sample itself reach the driver.
 
-    Cases: several labels of one doc_id, or several documents: one of each goes in; null texts count as empty.
+    Cases: of several labels of one doc_id the least goes in, and of several documents the first text by order, so that the
+    sample is bounded and the same however often an id comes; null texts count as empty.
     """
     spark = docs.sparkSession
     given = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
@@ -29,10 +30,11 @@ def draw(docs: DataFrame, labels: DataFrame, column: str, size: int) -> pa.Table
         return pa.table({"text": pa.array([], pa.string()), **{c: pa.array([], pa.null()) for c in labels.columns if c != "doc_id"}})
     rates = spark.createDataFrame([(v, min(_WHOLE, int(1.15 * size / n * _WHOLE) + 1)) for v, n in counts.items()], f"`{column}` {dict(labels.dtypes)[column]}, rate long")
     ids = given.join(F.broadcast(rates), column).filter(mark < F.col("rate")).drop("rate")
-    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in labels.columns if c != "doc_id"]).dropDuplicates(["doc_id"])
+    others = [c for c in labels.columns if c != "doc_id"]
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*others).alias("y")).groupBy("doc_id").agg(F.min("y").alias("y")).select("doc_id", "y.*")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # ids has about 1.15 x size rows for each value of the label, whatever the input's size.
-    got = texts.join(F.broadcast(ids), "doc_id").withColumn("mark", mark).toArrow().sort_by([("mark", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", *others).agg(F.min("text").alias("text")).withColumn("mark", mark).toArrow().sort_by([("mark", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     taken: dict = {}
     seen, keep = set(), []
     for i, (doc, value) in enumerate(zip(got.column("doc_id").to_pylist(), got.column(column).to_pylist(), strict=True)):

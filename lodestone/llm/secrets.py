@@ -7,8 +7,9 @@ their text's hash; a key that several rows share only makes more candidates, whi
 
 Places are code points. Rules are matched leftmost and without overlap, each for itself; then matches that are too short go.
 
-Cases: null and empty texts have no spans; rows that share a doc_id, or have none, each get a row; an empty table gives an
-empty result; other columns are ignored (scan) or kept (redacted).
+Cases: null and empty texts have no spans; rows that share a doc_id, or have none, each get a row; a very long text is matched
+whole, in memory for a few times its size; an empty table gives an empty result; other columns may have any name and are
+ignored (scan) or kept (redacted).
 """
 
 from __future__ import annotations

@@ -5,14 +5,18 @@ Inputs are the presence of words and of word beginnings of 4 to 7 bytes (runs of
 lower-cased), over the whole text, chosen on the sample by how strongly they go with a category. The models are fitted on
 the driver on a bounded sample (`size` documents of each value of the last category); scoring is a pass over the documents.
 
+`fit` takes any labelled categories. Where only toxicity is labelled, `train` learns two finer kinds from the labelled toxic
+documents themselves: they are parted in two by which of the words that mark toxicity they use (`kinds`), and a kind is
+predicted first, since it is more alike than all that is toxic.
+
 Cases: null and empty texts hold no feature and get the models' base rates; with no labels, or labels of one kind only, that
-rate is the answer; rows that share a doc_id, or have none, each get a row; an empty table gives an empty result.
+rate is the answer; rows that share a doc_id, or have none, each get a row; a very long text is scored whole, in memory for
+some fifty times its bytes; an empty table gives an empty result; other columns may have any name and are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +27,9 @@ from pyspark.sql import functions as F
 from . import bytewords as B
 from .sampling import draw
 
-# English words of the two finer categories; a labelled toxic document that has one is of that category.
-INSULT = "clown idiot loser moron stupid"
-CONTEMPT = "disgusting pathetic scum trash worthless"
-
 SIZE, FEATURES, FOLDS = 2500, 1000, 5
+#: Features that part toxic documents into two kinds.
+MARKS = 60
 _MASK = (1 << 20) - 1
 
 
@@ -121,29 +123,68 @@ def cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[i] + p[i + 1]) / 2, 0.1, 0.9))
 
 
-def fit(texts: pa.Array | pa.ChunkedArray, labels: dict[str, np.ndarray], count: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """labels: 0 or 1 for each text, by category, in the chain's order."""
-    n = len(texts)
+def _found(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sample's different features, and pairs of a document and a feature's number."""
     pairs = []
     for s in B.slices(texts):
         for doc, h in features(s):
             pairs.append(np.unique(np.rec.fromarrays([h, doc + s.first], names="h,d")))
     pairs = np.concatenate(pairs) if pairs else np.rec.fromarrays([np.zeros(0, np.uint64), np.zeros(0, np.int64)], names="h,d")
-    kinds, of, total = np.unique(pairs["h"], return_inverse=True, return_counts=True)
-    often = np.zeros(len(kinds))
-    for y in labels.values():
-        pos = np.bincount(of, y[pairs["d"]], len(kinds)) if len(kinds) else np.zeros(0)
-        n1, n0 = max(1, y.sum()), max(1, n - y.sum())
-        p = total / max(1, n)
-        z = (pos / n1 - (total - pos) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        often = np.maximum(often, np.where(total >= 5, np.abs(z), 0))
-    keep = np.sort(np.argsort(-often, kind="stable")[:count])
-    keep = keep[often[keep] >= 4]
-    number = np.full(len(kinds), -1)
+    known, of = np.unique(pairs["h"], return_inverse=True)
+    return known, pairs["d"], of
+
+
+def _strength(docs: np.ndarray, of: np.ndarray, n: int, kinds: int, y: np.ndarray) -> np.ndarray:
+    """How strongly each feature goes with y (above 0) or against it, in standard errors; 0 for those of few documents."""
+    total, pos = np.bincount(of, minlength=kinds), np.bincount(of, y[docs], kinds) if kinds else np.zeros(0)
+    n1, n0 = max(1, y.sum()), max(1, n - y.sum())
+    p = total / max(1, n)
+    z = (pos / n1 - (total - pos) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    return np.where(total >= 5, z, 0)
+
+
+def _matrix(docs: np.ndarray, of: np.ndarray, n: int, kinds: int, keep: np.ndarray) -> np.ndarray:
+    number = np.full(kinds, -1)
     number[keep] = np.arange(len(keep))
     x = np.zeros((n, len(keep)), np.float32)
     hit = number[of] >= 0
-    x[pairs["d"][hit], number[of][hit]] = 1
+    x[docs[hit], number[of][hit]] = 1
+    return x
+
+
+def kinds(texts: pa.Array | pa.ChunkedArray, toxic: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """0 or 1 for each toxic text, -1 for others: two groups by the MARKS features that go with toxicity most, by means of
+    unit rows, begun with the text farthest from the mean and the one farthest from that. The group of the first is 0."""
+    known, docs, of = _found(texts)
+    z = _strength(docs, of, len(texts), len(known), toxic)
+    keep = np.sort(np.argsort(-z, kind="stable")[:MARKS])
+    out = np.full(len(texts), -1)
+    at = np.flatnonzero(toxic > 0)
+    x = _matrix(docs, of, len(texts), len(known), keep[z[keep] > 4])[at]
+    if len(at) < 2 or not x.any():
+        out[at] = 0
+        return out
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    one = x[np.argmin(x @ x.mean(axis=0))]
+    centres = np.stack([one, x[np.argmin(x @ one)]])
+    side = np.zeros(len(x), int)
+    for _ in range(rounds):
+        side = (x @ centres.T).argmax(axis=1)
+        centres = np.stack([x[side == k].mean(axis=0) if (side == k).any() else centres[k] for k in (0, 1)])
+    out[at] = side
+    return out
+
+
+def fit(texts: pa.Array | pa.ChunkedArray, labels: dict[str, np.ndarray], count: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """labels: 0 or 1 for each text, by category, in the chain's order. Each category has its share of the features."""
+    n = len(texts)
+    known, docs, of = _found(texts)
+    keep = np.zeros(0, np.int64)
+    for y in labels.values():
+        often = np.abs(_strength(docs, of, n, len(known), y))
+        best = np.argsort(-often, kind="stable")[: count // len(labels)]
+        keep = np.union1d(keep, best[often[best] >= 4])
+    x = _matrix(docs, of, n, len(known), keep)
     fold, weights, oof = np.arange(n) % folds, [], np.zeros((n, 0), np.float32)
     for y in labels.values():
         inputs = np.column_stack([x, oof]).astype(np.float32)
@@ -154,17 +195,16 @@ def fit(texts: pa.Array | pa.ChunkedArray, labels: dict[str, np.ndarray], count:
             w, b = _logistic(inputs[fold != k], y[fold != k])
             held[fold == k] = _sigmoid(inputs[fold == k] @ w + b)
         oof = np.column_stack([oof, held])
-    return Chain(list(labels), kinds[keep], weights, cut(oof[:, -1].astype(np.float64), y))
+    return Chain(list(labels), known[keep], weights, cut(oof[:, -1].astype(np.float64), y))
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SIZE) -> Chain:
-    """A chain of insult, contempt and toxic. labels: doc_id, toxic (0 or 1). A document is insulting or contemptuous if it is
-    labelled toxic and holds a word of that list."""
+    """A chain of the two kinds of toxic documents and of toxic itself. labels: doc_id, toxic (0 or 1)."""
     got = draw(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "toxic", size)
     toxic = np.array(got.column("toxic").to_pylist(), np.float64)
     texts = got.column("text")
-    has = lambda words: np.array([bool(re.search(rf"\b(?:{'|'.join(words.split())})\b", t, re.I)) for t in texts.to_pylist()], bool)
-    return fit(texts, {"insult": toxic * has(INSULT), "contempt": toxic * has(CONTEMPT), "toxic": toxic})
+    kind = kinds(texts, toxic)
+    return fit(texts, {"kind_a": (kind == 0).astype(np.float64), "kind_b": (kind == 1).astype(np.float64), "toxic": toxic})
 
 
 def scored(text: Column, chain: Chain) -> Column:

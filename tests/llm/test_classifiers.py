@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import bytewords as B
 from lodestone.llm import language_id as L
@@ -45,6 +46,55 @@ def test_network_equals_a_plain_one():
         assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-3)
 
 
+def test_gradients_equal_differences():
+    """All derivatives, over whole documents of several chunks, against differences of the loss."""
+    r = np.random.default_rng(2)
+    w = [r.normal(size=(Q.WIDTH, 256, 3)), r.normal(size=3), r.normal(size=3), r.normal(size=3), r.normal(size=1)]
+    docs = [np.frombuffer(bytes(r.integers(97, 103, n, dtype=np.uint8)) + bytes(Q.WIDTH), np.uint8) for n in (0, 3, 249, 250, 251, 700)]
+    y = np.array([0.0, 1, 1, 0, 1, 0])
+    _, grads = Q.gradients(w, docs, y)
+    for part, g in zip(w, grads, strict=True):
+        places = np.argwhere(np.abs(g) > 1e-6)
+        for at in [tuple(places[i]) for i in r.permutation(len(places))[:12]]:
+            old, step = part[at], 1e-6
+            part[at] = old + step
+            up, _ = Q.gradients(w, docs, y)
+            part[at] = old - step
+            down, _ = Q.gradients(w, docs, y)
+            part[at] = old
+            assert (up - down) / (2 * step) == pytest.approx(g[at], rel=1e-3, abs=1e-6)
+
+
+def test_training_sees_the_end_of_a_long_document(monkeypatch):
+    monkeypatch.setattr(Q, "HELD", 3)  # in pieces
+    r = np.random.default_rng(1)
+    texts = ["".join(r.choice(list("abcde "), 6000)) + ("#" * 60 if i % 2 else "") for i in range(60)]
+    y = np.arange(60) % 2
+    net = Q.fit(texts, y.astype(np.float32), epochs=12)
+    p = np.concatenate([Q.score(net, net.pairs(), s) for s in B.slices(pa.array(texts))])
+    assert np.mean((p >= 0.5) == y) > 0.95
+
+
+def test_language_model_equals_a_plain_one():
+    """Nystrom features and ridge regression, written out."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(["the", "of", "and"] if i % 2 else ["der", "und", "ist"], 12)) for i in range(40)]
+    langs = ["en" if i % 2 else "de" for i in range(40)]
+    model = L.fit(pa.array(texts), langs, landmarks=10, ridge=1e-2)
+    rows = np.concatenate([L.presence(s) for s in B.slices(pa.array(texts))]).astype(np.float64)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    marks = unit[[i for j in range(5) for i in (2 * j + 1, 2 * j)]]  # as many of each language
+    marks = marks if np.allclose(marks, model.landmarks, atol=1e-5) else unit[[i for j in range(5) for i in (2 * j, 2 * j + 1)]]
+    assert np.allclose(marks, model.landmarks, atol=1e-5)
+    values, vectors = np.linalg.eigh(marks @ marks.T)
+    z = unit @ marks.T @ vectors / np.sqrt(np.maximum(values, 1e-6))
+    y = np.array([[a == b for b in ("de", "en")] for a in langs], float)
+    zc, yc = z - z.mean(0), y - y.mean(0)
+    want = zc @ np.linalg.inv(zc.T @ zc + 1e-2 * 40 * np.eye(10)) @ zc.T @ yc + y.mean(0)
+    best, score = (np.concatenate(x) for x in zip(*(model(s) for s in B.slices(pa.array(texts))), strict=True))
+    assert list(best) == list(want.argmax(1)) and np.allclose(score, np.clip(want.max(1), 0, 1), atol=5e-3)
+
+
 def test_language_held_out(spark, tables):
     docs, _ = tables
     model = L.train(docs.filter(bucket("doc_id", 4) != 2))
@@ -75,3 +125,5 @@ def test_sample_is_bounded_and_fixed(spark):
     ones = sum(got.column("y").to_pylist())
     assert got.num_rows <= 200 and 70 <= ones <= 100 and len(set(got.column("text").to_pylist())) == got.num_rows
     assert draw(docs.repartition(7), labels.repartition(5), "y", 100).equals(got)
+    often = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("text", F.lit("zz")).crossJoin(spark.range(20)).drop("id"))
+    assert draw(often, labels.unionByName(labels.withColumn("y", F.lit(1))), "y", 100).num_rows <= 200

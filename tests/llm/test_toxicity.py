@@ -52,6 +52,52 @@ def test_chain_feeds_earlier_probabilities():
     assert [len(w[1]) for w in chain.weights] == [0, 1] and chain.weights[1][1][0] > 0
 
 
+def test_chain_equals_a_plain_one():
+    """Presence of words, logistic models and out-of-fold inputs written out, against the chain's probabilities."""
+    import pyarrow as pa
+
+    from lodestone.llm import bytewords as B
+
+    r = np.random.default_rng(5)
+    words = ["aa", "bb", "cc", "dd", "ee"]
+    rows = [set(r.choice(words, 3, replace=False)) for _ in range(120)]
+    one = np.array([float("aa" in w and r.random() < 0.9) for w in rows])
+    two = np.array([float(("bb" in w or o) and r.random() < 0.9) for w, o in zip(rows, one)])
+    texts = pa.array([" ".join(sorted(w)) for w in rows])
+    chain = T.fit(texts, {"one": one, "two": two}, folds=4)
+    hashes = {w: T.B.Prefix(np.frombuffer(w.encode(), np.uint8)).spans(np.array([0]), np.array([2]))[0] for w in words}
+    kept = [next(w for w in words if hashes[w] == h) for h in chain.known]
+    x = np.array([[float(w in row) for w in kept] for row in rows], np.float32)
+    fold, inputs, want = np.arange(120) % 4, x, []
+    for y in (one, two):
+        w, b = T._logistic(inputs, y)
+        want.append((w, b))
+        held = np.zeros(120, np.float32)
+        for k in range(4):
+            wk, bk = T._logistic(inputs[fold != k], y[fold != k])
+            held[fold == k] = 1 / (1 + np.exp(-(inputs[fold == k] @ wk + bk)))
+        inputs = np.column_stack([inputs, held]).astype(np.float32)
+    p1 = 1 / (1 + np.exp(-(x @ want[0][0] + want[0][1])))
+    p2 = 1 / (1 + np.exp(-(np.column_stack([x, p1]) @ want[1][0] + want[1][1])))
+    got = np.concatenate([chain.score(s) for s in B.slices(texts)])
+    assert "aa" in kept and np.allclose(got, np.column_stack([p1, p2]), atol=1e-4)
+
+
+def test_kinds_part_toxic_texts_by_their_words():
+    import pyarrow as pa
+
+    r = np.random.default_rng(0)
+    texts, want = [], []
+    for i in range(300):
+        k = i % 3
+        texts.append(" ".join(r.choice(["plain", "words", "here"], 8)) + ("" if k == 2 else " " + " ".join(r.choice([["vile", "foul", "nasty"], ["dumb", "fool", "dolt"]][k], 2))))
+        want.append(k)
+    got = T.kinds(pa.array(texts), np.array([float(k < 2) for k in want]))
+    want = np.array(want)
+    assert (got[want == 2] == -1).all() and {*got[want == 0]} != {*got[want == 1]} and len({*got[want == 0]}) == 1
+    assert T.kinds(pa.array(["a", "b"]), np.zeros(2)).tolist() == [-1, -1]
+
+
 def test_cut():
     y = np.array([0.0] * 6 + [1.0] * 4)
     assert T.cut(np.array([0.0, 0.1, 0.1, 0.15, 0.2, 0.2, 0.6, 0.7, 0.8, 0.9]), y) == pytest.approx(0.4, abs=0.01)
