@@ -161,8 +161,9 @@ def _merge(n: int):
 
 def _salted(index: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both with salt: cells of more than BLOCK entries in blocks, queries to each block of their cell."""
-    # Fewer than TABLES rows for BLOCK entries; whether that is broadcast is up to its size.
+    # Fewer than TABLES rows for BLOCK entries, as a table of known size: it is broadcast only if it is small enough.
     hot = index.groupBy("tab", "cell").count().filter(F.col("count") > BLOCK).select("tab", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    hot, _ = written(hot)
     index = index.join(hot, ["tab", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
     asks = asks.join(hot, ["tab", "cell"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
     return index, asks
