@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.checks import MAX_RESULTS, MAX_TOKENS, bounded
-from .operators import fulltext, graph, lookup, modules, notes, postings, prompt, retrieval, state, telemetry
+from .operators import fulltext, graph, lookup, modules, notes, overview, postings, prompt, retrieval, state, telemetry
 
 NOTE = "key string, display_id long, content string, tags string, source_type string, memory_type string, decision_status string, session_id string, confidence double, quality double, accesses long, evidence string, agent string, trust_level string, created_at double, resolved_at double, expires_at string"
 SEEN = "session_id string, key string, at double, tokens long"
@@ -56,10 +55,8 @@ class Engine:
         return fulltext.top(retrieval._fuse({"or": (either, 1.0), "and": (both, 2.0), "exact": (exact, 3.0)}), "key", limit)
 
     def grep(self, patterns: list[str], limit: int = 20) -> DataFrame:
-        """file_path and hits: how often the patterns occur in a file's chunks, whatever the case."""
-        body = F.lower(F.coalesce("body", F.lit("")))
-        n = reduce(lambda a, b: a + b, [T.occurrences(body, p.lower()) for p in patterns if p], F.lit(0).cast("long"))
-        return self.chunks.groupBy("file_path").agg(F.sum(n).alias("hits")).filter("hits > 0").orderBy(F.col("hits").desc(), "file_path").limit(limit)
+        """file_path, hits and tokens: how often the patterns occur in a file's chunks, whatever the case."""
+        return overview.grep(self.chunks, "file_path", "body", patterns, T.token_count(F.col("body")), limit)
 
     def map(self, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
         return retrieval.signatures(self.chunks, query, limit, kind)

@@ -97,3 +97,26 @@ def visible(notes: DataFrame, as_of: Column, blocked: bool = False, expired_too:
 def bursts(events: DataFrame, by: str, at: str, gap: str) -> DataFrame:
     """by, first, last, n of each run of events that follow each other within the gap."""
     return events.groupBy(by, F.session_window(at, gap).alias("w")).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("w")
+
+
+def changed_files(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of files (file_path, content_hash) those to parse anew, and those whose parsed form the cache has."""
+    known = cache.select("file_path", "content_hash").distinct()
+    return files.join(known, ["file_path", "content_hash"], "left_anti"), files.join(known, ["file_path", "content_hash"], "left_semi")
+
+
+def cached(cache: DataFrame, fresh: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """The cache with the fresh rows in place of those of their files and, if `present` says which files there are, without
+    the rows of others."""
+    out = replaced(cache, fresh, "file_path")
+    return out if present is None else out.join(present.select("file_path").distinct(), "file_path", "left_semi")
+
+
+def current(rows: DataFrame, at: str, as_of: float, seconds: float) -> DataFrame:
+    """Rows no older than so many seconds."""
+    return rows.filter(F.col(at) > as_of - seconds)
+
+
+def last_used(cache: DataFrame, used: str, tie: str, most: int) -> DataFrame:
+    """The rows used last, at most so many."""
+    return cache.orderBy(F.col(used).desc(), tie).limit(most)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fulltext, fusion, graph, state, telemetry
+from ..operators import fulltext, fusion, graph, overview, state, telemetry
 from .catalog import query, table
 
 
@@ -223,9 +223,7 @@ def incremental_refresh(spark, sf):
 
 @query("structure_diff", f"SELECT source, coalesce(b.n, 0) - coalesce(a.n, 0) AS files, CAST(coalesce(b.c, 0) - coalesce(a.c, 0) AS BIGINT) AS chars FROM (SELECT source, count(*) AS n, sum(n_chars) AS c FROM {_OLD} GROUP BY source) a FULL JOIN (SELECT source, count(*) AS n, sum(n_chars) AS c FROM {_NEW} GROUP BY source) b USING (source)")
 def structure_diff(spark, sf):
-    a, b = (x.groupBy("source").agg(F.count("*").alias(f"n{i}"), F.sum("n_chars").alias(f"c{i}")) for i, x in enumerate(_snapshots(spark, sf)))
-    d = lambda x: (F.coalesce(F.col(f"{x}1"), F.lit(0)) - F.coalesce(F.col(f"{x}0"), F.lit(0)))
-    return a.join(b, "source", "full_outer").select("source", d("n").alias("files"), d("c").alias("chars"))
+    return overview.structure_change(*_snapshots(spark, sf), "source", "n_chars").withColumnRenamed("size", "chars")
 
 
 @query("memory_dedup", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS display_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -255,15 +253,12 @@ def line_metrics(spark, sf):
 
 @query("quality_summary", "WITH l AS (SELECT source, n_chars, len(string_split(text, chr(10))) AS n FROM documents) SELECT source, count(*) AS files, CAST(sum(n) AS BIGINT) AS lines, round(avg(n), 6) AS avg_lines FROM l GROUP BY source")
 def quality_summary(spark, sf):
-    got = table(spark, sf, "documents").select("source", T.line_metrics(F.col("text")).getField("total_lines").alias("n"))
-    return got.groupBy("source").agg(F.count("*").alias("files"), F.sum("n").alias("lines"), F.round(F.avg("n"), 6).alias("avg_lines"))
+    return overview.line_summary(table(spark, sf, "documents"), "source", "text").withColumn("avg_lines", F.round("avg_lines", 6))
 
 
 @query("hot_docs", "WITH m AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, " + "1 + " + " + ".join(f"CAST(floor((length(text) - length(replace(text, '{p}', ''))) / {len(p)}) AS BIGINT)" for p in T.BRANCHES) + " AS c FROM documents) SELECT doc_id, CAST(0.5 * n + 2 * c AS DOUBLE) AS score FROM m ORDER BY score DESC, doc_id LIMIT 10")
 def hot_docs(spark, sf):
-    m = table(spark, sf, "documents").select("doc_id", T.line_metrics(F.col("text")).alias("m"))
-    got = m.select("doc_id", (0.5 * F.col("m.total_lines") + 2 * F.col("m.complexity")).cast("double").alias("score"))
-    return fulltext.top(got, "doc_id", 10)
+    return overview.hot(table(spark, sf, "documents"), "doc_id", "text")
 
 
 PATHS = ["src/a.py", "tests/test_a.py", "vendor/x/y.go", "web/node_modules/m.js", "lib/test_b.py", "gen/x.pb.go", "src/x_generated.ts", "app/conftest.py", "a/b_test.go", "dist/main.js", "docs/build.md", "src/testing/x.rs", "site-packages/q.py", ".venv3/z.py", "src/target/k.c", "README.md", "spec/a.rb", "x_pb2.py"]
@@ -309,12 +304,12 @@ def route_groups(spark, sf):
 
 @query("language_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 4")
 def language_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(4)
+    return overview.counts(table(spark, sf, "documents"), "lang", 4)
 
 
 @query("index_stats", "SELECT count(*) AS chunks, count(DISTINCT source) AS files, CAST(coalesce(sum(n_chars // 4), 0) AS BIGINT) AS tokens FROM documents")
 def index_stats(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("files"), F.coalesce(F.sum(F.floor(F.col("n_chars") / 4)), F.lit(0)).alias("tokens"))
+    return overview.index_stats(table(spark, sf, "documents"), "source", F.floor(F.col("n_chars") / 4))
 
 
 @query("token_counts", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(CAST(floor((length(text) // 4) * 1.1) AS BIGINT), 1) END AS tokens FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, graph_queries, lookup_queries, module_queries, retrieval_queries, search_queries  # noqa: F401  the modules fill the catalogue
+from . import catalog, graph_queries, lookup_queries, module_queries, retrieval_queries, search_queries, text_queries  # noqa: F401  the modules fill the catalogue
 
 
 def queries() -> dict[str, catalog.Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import budget, fulltext, fusion, graph, vectors
+from ..operators import budget, fulltext, fusion, graph, overview, vectors
 from .catalog import query, table
 
 TERMS = ["thor", "reea", "whst", "inor"]
@@ -259,7 +259,4 @@ def group_by_file(spark, sf):
 
 @query("grep_counts", "SELECT source, CAST(sum(n) AS BIGINT) AS hits, CAST(sum(n_chars // 4) AS BIGINT) AS tokens FROM (SELECT source, n_chars, CAST(floor((length(lower(text)) - length(replace(lower(text), 'thor', ''))) / 4) + floor((length(lower(text)) - length(replace(lower(text), 'whst', ''))) / 4) AS BIGINT) AS n FROM documents) WHERE n > 0 GROUP BY source ORDER BY hits DESC, source LIMIT 15")
 def grep_counts(spark, sf):
-    low = F.lower("text")
-    n = T.occurrences(low, "thor") + T.occurrences(low, "whst")
-    got = table(spark, sf, "documents").select("source", n.alias("n"), F.floor(F.col("n_chars") / 4).alias("t")).filter("n > 0")
-    return got.groupBy("source").agg(F.sum("n").alias("hits"), F.sum("t").alias("tokens")).orderBy(F.col("hits").desc(), "source").limit(15)
+    return overview.grep(table(spark, sf, "documents"), "source", "text", ["THOR", "whst"], F.floor(F.col("n_chars") / 4))

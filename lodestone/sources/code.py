@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_excluded, language
+from ..functions.text import glob, is_excluded, language
 
 CHUNKS = "file_path string, chunk_name string, chunk_type string, language string, start_line long, end_line long, signature string, body string"
 REFS = "file_path string, ref_name string, ref_type string, line_number long, containing_chunk string"
 IMPORTS = "file_path string, source_module string, target string, import_type string, ordinal long"
 ROUTES = "file_path string, method string, path string, handler string, line_number long"
+WHOLE = "file_path string, chunk_name string, chunk_type string, start_line long, end_line long, signature string, docstring string, body string"
+WHOLE_KEYS = tuple(x.split()[0] for x in WHOLE.split(", "))
 #: Characters of a chunk's body.
 BODY = 5000
 
@@ -226,6 +228,39 @@ def parse_routes(path: str, lang: str, text: str) -> list[dict]:
     return out
 
 
+def parse_whole(path: str, lang: str, text: str) -> list[dict]:
+    """The older way to chunks: for Python a chunk of the module's docstring and imports, then functions, classes and methods
+    with their first lines as signatures; the whole file for anything else."""
+    stem = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
+    lines, tree = text.split("\n"), None
+    if lang == "python":
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError):
+            tree = None
+    if tree is None:
+        return [dict(zip(WHOLE_KEYS, (path, stem, "module", 1, len(lines), "", "", text), strict=True))]
+    doc = ast.get_docstring(tree) or ""
+    taken = [line for node in tree.body if isinstance(node, (ast.Import, ast.ImportFrom)) for line in lines[node.lineno - 1 : node.end_lineno]]
+    head = "\n".join([*([f'"""{doc}"""', ""] if doc else []), *taken]).strip()
+    out = [(path, f"{stem} (module)", "module", 1, max(1, len(taken)), "", doc, head)] if head else []
+    for name, kind, node, _ in _python_spans(tree):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            out.append((path, name, kind, node.lineno, node.end_lineno, lines[node.lineno - 1].strip(), ast.get_docstring(node) or "", "\n".join(lines[node.lineno - 1 : node.end_lineno]).rstrip()))
+    return [dict(zip(WHOLE_KEYS, row, strict=True)) for row in out]
+
+
+def parse_outline(path: str, lang: str, text: str) -> list[dict]:
+    """One row a Python file: its functions, classes and methods, a line each, with docstrings of the outer ones."""
+    rows = []
+    for r in parse_whole(path, lang, text) if lang == "python" else ():
+        if r["chunk_type"] == "method":
+            rows.append("    " + r["signature"])
+        elif r["chunk_type"] in ("function", "class"):
+            rows += [r["signature"], *([f'    """{r["docstring"]}"""'] if r["docstring"] else [])]
+    return [{"file_path": path, "outline": "\n".join(rows)}] if rows else []
+
+
 def _table(sources: DataFrame, parse: Callable[[str, str, str], list[dict]], schema: str) -> DataFrame:
     """sources: file_path, language, text."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -255,3 +290,29 @@ def imports(sources: DataFrame) -> DataFrame:
 
 def routes(sources: DataFrame) -> DataFrame:
     return _table(sources, parse_routes, ROUTES)
+
+
+def whole_chunks(sources: DataFrame) -> DataFrame:
+    return _table(sources, parse_whole, WHOLE)
+
+
+def outlines(sources: DataFrame) -> DataFrame:
+    return _table(sources, parse_outline, "file_path string, outline string")
+
+
+def kept_files(files: DataFrame, ignored: list[str] | None = None, included: list[str] | None = None) -> DataFrame:
+    """files (file_path) without those that an ignore file's lines name, the last line that fits deciding (! takes back; a
+    slash at the end means a folder, one before it a place below the root), and only those that a pattern includes."""
+    path = F.col("file_path")
+    out = F.lit(False)
+    for line in ignored or []:
+        rule = line.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        back, rule = rule.startswith("!"), rule.lstrip("!")
+        bare = rule.strip("/")
+        inner = "".join(".*" if x == "**" else "[^/]*" if x == "*" else "[^/]" if x == "?" else re.escape(x) for x in re.findall(r"\*\*|.", bare))
+        begin = "^" if "/" in rule.rstrip("/") else "(^|/)"
+        out = F.when(path.rlike(begin + inner + ("/" if rule.endswith("/") else "(/|$)")), F.lit(not back)).otherwise(out)
+    files = files.filter(~out)
+    return files.filter(F.exists(F.array(*[path.rlike(glob(p)) for p in included]), lambda x: x)) if included else files

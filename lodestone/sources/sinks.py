@@ -54,3 +54,20 @@ def openapi(routes: DataFrame, title: str = "API", version: str = "1.0.0") -> Da
     paths = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", F.to_json("ops").alias("o")))))
     doc = each.agg(paths.alias("p")).select(F.to_json(F.struct(F.lit("3.0.0").alias("openapi"), F.struct(F.lit(title).alias("title"), F.lit(version).alias("version")).alias("info"), F.transform_values("p", lambda _, v: F.from_json(v, "map<string,struct<operationId:string>>")).alias("paths"))).alias("spec"))
     return doc
+
+
+def postman(routes: DataFrame, title: str = "API") -> DataFrame:
+    """One row, spec: a Postman collection of routes (method, path, handler), by path and method."""
+    item = F.struct(F.concat_ws(" ", F.upper("method"), "path").alias("name"), F.struct(F.upper("method").alias("method"), F.struct(F.concat(F.lit("{{baseUrl}}"), "path").alias("raw")).alias("url"), "handler").alias("request"))
+    each = routes.select("path", F.upper("method").alias("m"), item.alias("item")).distinct().agg(F.array_sort(F.collect_list(F.struct("path", "m", "item"))).alias("items"))
+    info = F.struct(F.lit(title).alias("name"), F.lit("https://schema.getpostman.com/json/collection/v2.1.0/collection.json").alias("schema"))
+    return each.select(F.to_json(F.struct(info.alias("info"), F.col("items.item").alias("item"))).alias("spec"))
+
+
+def api_markdown(routes: DataFrame, title: str = "API") -> DataFrame:
+    """One row, text: a document with a table of the routes of each file."""
+    line = F.concat(F.lit("| "), F.upper("method"), F.lit(" | `"), "path", F.lit("` | "), "handler", F.lit(" |"))
+    rows = routes.select("file_path", "path", line.alias("line")).distinct().groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("l"))
+    part = F.concat(F.lit("## "), "file_path", F.lit("\n\n| Method | Path | Handler |\n|-|-|-|\n"), F.array_join(F.col("l.line"), "\n"))
+    parts = rows.agg(F.array_sort(F.collect_list(F.struct("file_path", part.alias("part")))).alias("p"))
+    return parts.select(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.col("p.part"), "\n\n"), F.lit("\n")).alias("text"))

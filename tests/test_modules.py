@@ -245,3 +245,17 @@ def test_engine(spark, chunks, tmp_path):
     for method, params in (("nope", {}), ("search", {"query": "x", "limit": True}), ("search", {"query": "x", "limit": 101}), ("deep", {"name": "x", "budget": 0})):
         with pytest.raises(ValueError):
             e.dispatch(method, params)
+
+
+def test_whole_chunks(spark):
+    from lodestone.sources import code, sinks
+
+    text = '"""Top."""\nimport os\nfrom a import (\n    b,\n)\n\n@deco\ndef f(x):\n    """Doc."""\n    return x\n\nclass C(B):\n    y = 1\n    async def m(self):\n        pass\n'
+    rows = [("p/a.py", "python", text), ("b.go", "go", "func x() {}\n"), ("c.py", "python", "x = ("), ("d.py", "python", "")]
+    got = {(r.file_path, r.chunk_name): r for r in code.whole_chunks(spark.createDataFrame(rows, "file_path string, language string, text string")).collect()}
+    assert set(got) == {("p/a.py", "a (module)"), ("p/a.py", "f"), ("p/a.py", "C"), ("p/a.py", "C.m"), ("b.go", "b"), ("c.py", "c")}
+    assert got["p/a.py", "a (module)"].body == '"""Top."""\n\nimport os\nfrom a import (\n    b,\n)' and got["p/a.py", "f"].signature == "def f(x):" and got["p/a.py", "f"].docstring == "Doc."
+    assert got["p/a.py", "C.m"].chunk_type == "method" and got["c.py", "c"].body == "x = ("
+    routes = spark.createDataFrame([("a.py", "get", "/x", "h"), ("a.py", "POST", "/x", "p")], "file_path string, method string, path string, handler string")
+    spec = json.loads(sinks.postman(routes, "T").first().spec)
+    assert spec["info"]["name"] == "T" and [i["name"] for i in spec["item"]] == ["GET /x", "POST /x"] and spec["item"][0]["request"]["url"]["raw"] == "{{baseUrl}}/x"
