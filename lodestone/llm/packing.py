@@ -14,9 +14,7 @@ tokenizer makes of them.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -31,48 +29,91 @@ from .spaces import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANKS = 20_000
-#: Words and white-space separated chunks that a worker keeps with their ids; words take longer to encode anew.
-WORDS, CHUNKS = 400_000, 200_000
+#: Different words that a worker keeps with their ids, some 40 bytes each, and bytes of text looked at in one go.
+WORDS, SLICE = 1_200_000, 1 << 20
 
-_LETTERS = "a-zß-öø-ÿ"
-
-
-class _Ids(dict):
-    """Ids (little-endian unsigned 32-bit) by a key, from make() at the first use; so many are kept."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        got = self.make(key)
-        if len(self) < self.most:
-            self[key] = got
-        return got
+# Fixed by the vocabulary file: kinds of bytes in UTF-8 text of ASCII and Latin-1 letters: 0 white space, 1 letters, 2 digits, 3
+# other signs, 4 what such text doesn't have, or what needs the tokenizer itself (an apostrophe, which may join letters).
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x20:0x7F] = 3
+_KIND[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x27] = 4
 
 
 class Encoder:
     """ids of whole texts as a tokenizer of word_bpe_49k.json's kind gives them: it lower-cases, parts words at white space
-    and at changes between letters, digits and the rest, and joins nothing across these parts. So equal words are encoded
-    once. Texts with characters for which that is not certain, or with special tokens, go to the tokenizer whole."""
-
-    # Fixed by the vocabulary file: how its tokenizer parts lower-case text.
-    PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTERS}0-9\\s]+")
-    PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*\\Z")
+    and at changes between letters, digits (each a word) and the rest, and joins nothing across these parts. So a slice's
+    words are found in its bytes at once, told apart by 64-bit hashes, and each different one is encoded once. Texts with characters for which that is
+    not certain, or with special tokens, go to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _Ids(self._whole, WORDS)
-        self.chunks = _Ids(lambda chunk: b"".join(map(self.words.__getitem__, self.PARTS.findall(chunk))), CHUNKS)
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if self.PLAIN.match(text) and "<|" not in text:
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
-        return self._whole(text)
+        # Words by their 64-bit hash, sorted, and where their ids are in `ids`.
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _words(self, h: np.ndarray, blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in an array of ids those of each word are, how many, and the array. h: sorted."""
+        place = np.searchsorted(self.hashes, h)
+        there = np.zeros(len(h), bool)
+        if len(self.hashes):
+            there = self.hashes[np.minimum(place, len(self.hashes) - 1)] == h
+        at, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        at[there], size[there] = self.at[place[there]], self.size[place[there]]
+        new = np.flatnonzero(~there)
+        fresh = [self.tokenizer.encode(blob[a:b].decode(), add_special_tokens=False).ids for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+        size[new] = [len(x) for x in fresh]
+        at[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+        ids = np.concatenate([self.ids, np.array([i for x in fresh for i in x], np.uint32)])
+        if len(self.hashes) + len(new) <= WORDS:
+            self.hashes, self.at, self.size, self.ids = np.insert(self.hashes, place[new], h[new]), np.insert(self.at, place[new], at[new]), np.insert(self.size, place[new], size[new]), ids
+        return at, size, ids
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        for s in B.slices(column, SLICE):
+            for i, ids in enumerate(self._slice(s)):
+                yield self.whole(s.data[s.offsets[i] : s.offsets[i + 1]].tobytes().decode()) if ids is None else ids
+
+    def _slice(self, s: B.Slice) -> Iterator[np.ndarray | None]:
+        data = s.data
+        if not len(data):
+            yield from (np.zeros(0, np.uint32) for _ in range(s.n))
+            return
+        kind = _KIND[data]
+        after = np.zeros(len(data), bool)  # what stands behind the first byte of a Latin-1 letter
+        after[1:] = data[:-1] == 0xC3
+        odd = (kind == 4) | after & ((data == 0x97) | (data == 0xB7))
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        low = B.LOWER[data]
+        low[after & (data >= 0x80) & (data <= 0x9E)] += 0x20
+        new = np.ones(len(data), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        new[s.offsets[:-1][s.offsets[:-1] < len(data)]] = True
+        at = np.flatnonzero(new)
+        ends = np.append(at[1:], len(data))
+        word = kind[at] != 0
+        starts, ends = at[word], ends[word]
+        bounds = np.searchsorted(starts, s.offsets)
+        plain = np.bincount(np.searchsorted(s.offsets, np.flatnonzero(odd), "right") - 1, minlength=s.n) == 0
+        # Words of texts that go whole are not looked up.
+        use = np.repeat(plain, np.diff(bounds))
+        h = B.Prefix(low).spans(starts[use], ends[use])
+        kinds, first, of = np.unique(h, return_index=True, return_inverse=True)
+        begin, size, flat = self._words(kinds, low.tobytes(), starts[use][first], ends[use][first])
+        n, begin = size[of], begin[of]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(upto[-1]) - np.repeat(upto[:-1], n) + np.repeat(begin, n)]
+        place = upto[np.concatenate([[0], np.cumsum(use)])[bounds]]
+        for i in range(s.n):
+            yield ids[place[i] : place[i + 1]] if plain[i] else None
 
 
 @cache
@@ -84,18 +125,19 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = _encoder(tokenizer), end.to_bytes(4, "little")
+        encode, last = _encoder(tokenizer), np.array([end], np.uint32)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + last
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, x in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for doc, got in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.concatenate([got, last])
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    for column, x in zip(out, (doc, piece, at, len(part), zlib.crc32(part.astype("<u4", copy=False))), strict=True):
                         column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    B.lean(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.tidy(run), PIECES)
 
 

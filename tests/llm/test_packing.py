@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -19,9 +20,23 @@ def test_encoder_equals_the_tokenizer():
     r = random.Random(2)
     encode, whole = packing.Encoder(PATH), Tokenizer.from_file(PATH)
     chars = ["a", "B", "é", "Ü", "ß", " ", "\n", "\t", "'s", "'LL", "1", "23", "_", "-", "!!", "<|endoftext|>", "é", " ", " ", "µ", "×", "İ", "字", "\x1c", "x", "́", "."]
-    for _ in range(1500):
-        text = "".join(r.choice(chars) for _ in range(r.randrange(14)))
-        assert list(np.frombuffer(encode(text), "<u4")) == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(14))) for _ in range(1500)]
+    texts += ["", "a" * 5000, "é" * 3000 + " x", "\n \t"] + ["Ünd 12 drei-vier " * r.randrange(9) for _ in range(50)]
+    for size in (1, 40, 1 << 20):
+        packing.SLICE, old = size, packing.SLICE
+        try:
+            for _ in range(2):  # the second time words are known
+                for text, got in zip(texts, encode(pa.array([*texts, None])), strict=False):
+                    assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        finally:
+            packing.SLICE = old
+
+
+def test_few_kept_words_give_the_same(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 5)
+    encode, whole = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [f"word{i} two three{i % 3} élan" for i in range(40)]
+    assert [x.tolist() for t in texts for x in encode(pa.array([t]))] == [whole.encode(t, add_special_tokens=False).ids for t in texts] and len(encode.hashes) <= 5
 
 
 @pytest.mark.parametrize("capacity", [16, 4096])
