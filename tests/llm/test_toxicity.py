@@ -83,21 +83,6 @@ def test_chain_equals_a_plain_one():
     assert "aa" in kept and np.allclose(got, np.column_stack([p1, p2]), atol=1e-4)
 
 
-def test_kinds_part_toxic_texts_by_their_words():
-    import pyarrow as pa
-
-    r = np.random.default_rng(0)
-    texts, want = [], []
-    for i in range(300):
-        k = i % 3
-        texts.append(" ".join(r.choice(["plain", "words", "here"], 8)) + ("" if k == 2 else " " + " ".join(r.choice([["vile", "foul", "nasty"], ["dumb", "fool", "dolt"]][k], 2))))
-        want.append(k)
-    got = T.kinds(pa.array(texts), np.array([float(k < 2) for k in want]))
-    want = np.array(want)
-    assert (got[want == 2] == -1).all() and {*got[want == 0]} != {*got[want == 1]} and len({*got[want == 0]}) == 1
-    assert T.kinds(pa.array(["a", "b"]), np.zeros(2)).tolist() == [-1, -1]
-
-
 def test_cut():
     y = np.array([0.0] * 6 + [1.0] * 4)
     assert T.cut(np.array([0.0, 0.1, 0.1, 0.15, 0.2, 0.2, 0.6, 0.7, 0.8, 0.9]), y) == pytest.approx(0.4, abs=0.01)
